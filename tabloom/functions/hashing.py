@@ -25,7 +25,7 @@ def _limb_sum(digest: Column, digits: int) -> Column:
 def fingerprint64(c: Column) -> Column:
     """sha-256 of the text modulo 2^64 - 1, as decimal(20,0)."""
     total = _limb_sum(F.sha2(c, 256), 16).cast("decimal(22,0)")
-    return (total % F.lit(MAX_64).cast("decimal(22,0)")).cast("decimal(20,0)")
+    return (total % F.lit(str(MAX_64)).cast("decimal(22,0)")).cast("decimal(20,0)")
 
 
 def fingerprint32(c: Column) -> Column:

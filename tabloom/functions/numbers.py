@@ -102,7 +102,7 @@ def parse_number(c: Column) -> Column:
     """One cardinal or ordinal number, digits or word; null when it is neither or not finite upward."""
     digits = to_double(F.replace(F.regexp_replace(c, ORDINAL_SUFFIX, ""), F.lit(",")))
     finite = F.when(~F.isnan(digits) & (digits != float("inf")), digits)
-    word = _lookup({**NUMBER_WORDS, **ORDINAL_WORDS}).getItem(c).cast("double")
+    word = _lookup({**NUMBER_WORDS, **ORDINAL_WORDS})[c].cast("double")
     return F.coalesce(finite, word)
 
 
@@ -123,7 +123,7 @@ def parse_date(c: Column) -> Column:
         for group, part in enumerate(order, 1):
             piece = F.regexp_extract(text, pattern, group)
             named = part == "m" and "jan" in shape
-            parts[part] = month_no.getItem(piece) if named else piece.try_cast("int")
+            parts[part] = month_no[piece] if named else piece.try_cast("int")
         year = parts.get("y", F.lit(DEFAULT_YEAR))
         whole = F.format_string("%04d-%02d-%02d", year, parts.get("m", F.lit(1)), parts.get("d", F.lit(1)))
         valid = text.rlike(pattern) & year.between(MIN_YEAR, MAX_YEAR) & whole.try_cast("date").isNotNull()
@@ -164,6 +164,7 @@ def cell_values(c: Column) -> Column:
 
 _NUMBER_IN_TEXT = re.compile(r"((^|\s)[+-])?((\.\d+)|(\d+(,\d\d\d)*(\.\d*)?))")
 _DATE_REGEXES = [(re.compile(f"{shape}$"), order) for shape, order in DATE_SHAPES]
+_DATE_WORD = re.compile(rf"(\d{{4}}s?|{_MONTH})$")
 _MONTH_NUMBER = {name: i for i, m in enumerate(MONTHS, 1) for name in (m, m[:3])}
 _WORD_NUMBER = {**NUMBER_WORDS, **ORDINAL_WORDS}
 
@@ -214,10 +215,13 @@ def _value_spans(text):
         for value in (_number_of(word), _WORD_NUMBER.get(word)):
             if value is not None:
                 note((begin, end), NUMBER, float(value))
-    for last, (_, end) in enumerate(edges):
-        for begin, _ in edges[max(0, last - MAX_DATE_WORDS + 1) : last + 1]:
+    anchors = [i for i, (b, e) in enumerate(edges) if _DATE_WORD.match(text[b:e].lower())]
+    for anchor in anchors:
+        near = range(max(0, anchor - MAX_DATE_WORDS + 1), anchor + 1)
+        for first, last in ((i, j) for i in near for j in range(anchor, min(i + MAX_DATE_WORDS, len(edges)))):
+            begin, end = edges[first][0], edges[last][1]
             parts = _date_of(text[begin:end].lower())
-            if parts:
+            if parts and DATE not in [v[0] for v in found.get((begin, end), ())]:
                 note((begin, end), DATE, None, parts)
 
     kept = []
@@ -227,9 +231,7 @@ def _value_spans(text):
     return [(b, e, found[b, e]) for b, e in sorted(kept)]
 
 
-@F.pandas_udf(f"array<struct<begin:int,end:int,values:array<{VALUE_TYPE}>>>")
-def value_spans(texts: pd.Series) -> pd.Series:
-    """Numeric value spans of running text; longest spans win and nested ones are dropped."""
+def _spans_batch(texts: pd.Series) -> pd.Series:
     names = ("type", "f", "year", "month", "day")
     return texts.map(
         lambda t: None
@@ -238,6 +240,11 @@ def value_spans(texts: pd.Series) -> pd.Series:
     )
 
 
+def value_spans(c: Column) -> Column:
+    """Numeric value spans of running text; longest spans win and nested ones are dropped."""
+    return F.pandas_udf(_spans_batch, f"array<struct<begin:int,end:int,values:array<{VALUE_TYPE}>>>")(c)
+
+
 def text_values(c: Column) -> Column:
     """All values of running text in order, as an array of numeric values."""
     return F.flatten(F.transform(value_spans(c), lambda s: s["values"]))

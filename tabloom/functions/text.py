@@ -143,12 +143,12 @@ def quote_regex(needle: Column) -> Column:
 
 def contains_tokens(haystack: Column, needle: Column) -> Column:
     """True when needle occurs in haystack on token boundaries."""
-    pattern = F.concat(F.lit(r"(?:\b|\s)(?:"), quote_regex(needle), F.lit(r")(?:\s|\b)"))
+    pattern = F.concat(F.lit(r"(?U)(?:\b|\s)(?:"), quote_regex(needle), F.lit(r")(?:\s|\b)"))
     return F.regexp_like(haystack, pattern)
 
 
 def count_token_matches(haystack: Column, needle: Column) -> Column:
-    pattern = F.concat(F.lit(r"(?:\b|\s)(?:"), quote_regex(needle), F.lit(r")(?:\s|\b)"))
+    pattern = F.concat(F.lit(r"(?U)(?:\b|\s)(?:"), quote_regex(needle), F.lit(r")(?:\s|\b)"))
     return F.regexp_count(haystack, pattern)
 
 
@@ -180,10 +180,13 @@ def _fold_answer(text):
     return re.sub(r"<[^<]+?>", "", text)
 
 
-@F.pandas_udf("string")
-def fold_answer(texts: pd.Series) -> pd.Series:
+def _fold_batch(texts: pd.Series) -> pd.Series:
+    return texts.map(_fold_answer)
+
+
+def fold_answer(c: Column) -> Column:
     """Strict answer normaliser: no diacritics, citations, trailing parentheses or outer quotes.
 
     Python, because SQL has no Unicode decomposition; one Arrow batch at a time.
     """
-    return texts.map(_fold_answer)
+    return F.pandas_udf(_fold_batch, "string")(c)

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabloom.operators.layout import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,5 +26,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# Tables of long texts, where the work per row is large.
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    df = spark.read.parquet(f"{folder}/{table}.parquet")
+    return spread(df) if table in TEXT_TABLES else df
