@@ -42,15 +42,15 @@ judged AS (SELECT k.*, g.table_id IS NOT NULL AS gold FROM knn k LEFT JOIN gold
 """
 
 
-@query("c09_nearest", f"WITH {KNN} SELECT query_id, table_id, round(score, 6) AS score, rank FROM knn")
+@query("c09_nearest", f"WITH {KNN} SELECT query_id, table_id, score, rank FROM knn")
 def c09(spark, folder):
-    return neighbours(spark, folder).withColumn("score", F.round("score", 6))
+    return neighbours(spark, folder)
 
 
-@query("c09_nearest_blocks", f"WITH {KNN} SELECT query_id, table_id, round(score, 6) AS score, rank FROM knn WHERE rank <= 20")
+@query("c09_nearest_blocks", f"WITH {KNN} SELECT query_id, table_id, score, rank FROM knn WHERE rank <= 20")
 def c09_blocks(spark, folder):
     """The path for a query side too large to broadcast."""
-    return dense.nearest(*vectors(spark, folder), 20, max_broadcast=0).withColumn("score", F.round("score", 6))
+    return dense.nearest(*vectors(spark, folder), 20, max_broadcast=0)
 
 
 @query("f01_dense_top_per_query", f"WITH {KNN} SELECT query_id, count(*) AS n, round(min(score), 6) AS lowest FROM knn GROUP BY query_id")
@@ -123,7 +123,7 @@ def d09(spark, folder):
 @query(
     "d10_ndcg",
     f"""WITH {KNN}, q AS (SELECT query_id, count_if(gold) AS hits, {_per_cutoff('sum(CASE WHEN gold AND rank <= {k} THEN 1 / log2(rank + 1.0::DOUBLE) ELSE 0 END) AS d{k}')} FROM judged GROUP BY query_id),
-    r AS (SELECT *, {_per_cutoff('list_sum(list_transform(range(1, least({k}, hits) + 1), lambda i: 1 / log2(i + 1.0::DOUBLE))) AS i{k}')} FROM q)
+    r AS (SELECT *, {_per_cutoff('list_sum(list_transform(range(1, CAST(least({k}, hits) + 1 AS BIGINT)), lambda i: 1 / log2(i + 1.0::DOUBLE))) AS i{k}')} FROM q)
     SELECT {_per_cutoff('round(avg(CASE WHEN hits > 0 THEN d{k} / i{k} ELSE 0 END), 6) AS ndcg_at_{k}')} FROM r""",
 )
 def d10(spark, folder):
@@ -142,12 +142,12 @@ def d11(spark, folder):
 
 @query(
     "a13_neighbour_file",
-    f"WITH {KNN} SELECT CAST(query_id AS VARCHAR) AS query_id, rank, CAST(table_id AS VARCHAR) AS table_id, round(-score, 6) AS score FROM knn",
+    f"WITH {KNN} SELECT CAST(query_id AS VARCHAR) AS query_id, rank, CAST(table_id AS VARCHAR) AS table_id, -score AS score FROM knn",
 )
 def a13(spark, folder):
     path = f"{shared_folder(spark)}/neighbours-{uuid.uuid4().hex}"
     files.write_neighbours(neighbours(spark, folder), path)
-    return files.read_neighbours(spark, path).withColumn("score", F.round("score", 6))
+    return files.read_neighbours(spark, path)
 
 
 @query(

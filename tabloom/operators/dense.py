@@ -127,7 +127,7 @@ def _by_blocks(queries: DataFrame, corpus: DataFrame, k: int, schema: str, n_que
         "table_id",
         "embedding",
         F.pmod(F.xxhash64("table_id"), F.lit(corpus_blocks)).cast("int").alias("cb"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("bigint").alias("qb"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(query_blocks - 1).cast("bigint"))).alias("qb"),
     )
 
     def cell(some_queries: pd.DataFrame, some_tables: pd.DataFrame) -> pd.DataFrame:
