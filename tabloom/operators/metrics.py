@@ -77,7 +77,7 @@ def structure_metrics(examples: DataFrame) -> DataFrame:
 
 def confusion(examples: DataFrame, gold: str, pred: str, labels: list[str]) -> DataFrame:
     """Counts per gold label with one column per predicted label."""
-    return examples.groupBy(gold).pivot(pred, labels).agg(F.count("*")).na.fill(0)
+    return examples.groupBy(gold).pivot(pred, labels).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def class_f1(examples: DataFrame, gold: str, pred: str) -> DataFrame:
