@@ -37,7 +37,9 @@ def order_pages(spark, folder, infobox=False):
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", line.alias("h")))), lambda r: r["h"]), "\n")
     head = "".join(f"<th>{c}</th>" for c in ORDER_COLUMNS)
     page = F.concat(F.lit(f"<html><p>é &amp; ü</p></table><Table><tr>{head}</tr>"), body, F.lit("</table><p>end</p></html>"))
-    return rows.groupBy("table_id").agg(page.alias("html")).withColumnRenamed("table_id", "page_id")
+    # Parsing is heavy for its bytes, so the pages keep one partition per core.
+    pages = rows.groupBy("table_id").agg(page.alias("html")).withColumnRenamed("table_id", "page_id")
+    return pages.repartition(spark.sparkContext.defaultParallelism)
 
 
 _PAGE_TEXT = "CASE WHEN col = 6 AND row >= 0 THEN replace(text, '-', ' ') ELSE text END"
@@ -47,7 +49,7 @@ _PAGE_TEXT = "CASE WHEN col = 6 AND row >= 0 THEN replace(text, '-', ' ') ELSE t
     "b01_table_spans",
     f"""{S.WITH_OT}, r AS (SELECT table_id, row, '<tr><td><span style="display:none">key ' || row || '</span>' || c0 || '</td>' || '<td>' || c1 || '</td><td>' || c2 || '</td><td>' || c3 || '</td><td>' || c4 || '</td><td>' || c5 || '</td><td rowspan="2">' || replace(c6, '-', '<br />') || '</td></tr>' AS h FROM ot_rows),
     p AS (SELECT table_id, sum(length(h)) + count(*) - 1 AS l FROM r GROUP BY table_id)
-    SELECT table_id AS page_id, CAST(0 AS INTEGER) AS table_ix, CAST(31 AS INTEGER) AS begin_ix, CAST(31 + 7 + 9 + 7 * 9 + length('l_quantityl_extendedpricel_discountl_taxl_returnflagl_linestatusl_shipdate') + l + 8 AS INTEGER) AS end_ix FROM p""",
+    SELECT table_id AS page_id, CAST(0 AS INTEGER) AS table_ix, CAST(32 AS INTEGER) AS begin_ix, CAST(32 + 7 + 9 + 7 * 9 + length('l_quantityl_extendedpricel_discountl_taxl_returnflagl_linestatusl_shipdate') + l + 8 AS INTEGER) AS end_ix FROM p""",
 )
 def b01(spark, folder):
     cells = extract.page_cells(order_pages(spark, folder))
@@ -249,22 +251,25 @@ edge AS (SELECT x.table_id AS a, y.table_id AS b, round(sum(u.w * v.w), 9) AS si
 """
 
 
-@query("i06_bucket_counts", f"{S.WITH_OT}, {VECTORS.replace('{t}', '0.91')} SELECT table_id, bucket, n FROM bc")
+@query("i06_bucket_counts", f"{S.WITH_OT}, {VECTORS.replace('{t}', '0.91')} SELECT table_id, count(*) AS n_buckets, CAST(sum(n) AS BIGINT) AS n_grams, CAST(sum(bucket * n) AS BIGINT) AS weighted FROM bc GROUP BY table_id")
 def i06(spark, folder):
-    return dedup.bucket_counts(order_cells(spark, folder))
+    counts = dedup.bucket_counts(order_cells(spark, folder))
+    return counts.groupBy("table_id").agg(
+        F.count("*").alias("n_buckets"), F.sum("n").alias("n_grams"), F.sum(F.col("bucket") * F.col("n")).alias("weighted")
+    )
 
 
-@query("i07_similarity_edges", f"{S.WITH_OT}, {VECTORS.replace('{t}', '0.5')} SELECT a, b, round(sim, 6) AS sim FROM edge")
+@query("i07_similarity_edges", f"{S.WITH_OT}, {VECTORS.replace('{t}', '0.6')} SELECT a, b, round(sim, 6) AS sim FROM edge")
 def i07_edges(spark, folder):
     """Orders differ in most numbers, so the threshold is lower than the default."""
-    edges = dedup.similarity_edges(dedup_tables(spark, folder), order_cells(spark, folder), threshold=0.5)
+    edges = dedup.similarity_edges(dedup_tables(spark, folder), order_cells(spark, folder), threshold=0.6)
     return edges.withColumn("sim", F.round("sim", 6))
 
 
 @query("i07_group_similar")
 def i07(spark, folder):
     """Clusters are checked against a sequential merge on small fixtures in the tests."""
-    return dedup.group_similar(dedup_tables(spark, folder), order_cells(spark, folder), threshold=0.5)
+    return dedup.group_similar(dedup_tables(spark, folder), order_cells(spark, folder), threshold=0.6)
 
 
 @query(

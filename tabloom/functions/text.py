@@ -152,10 +152,11 @@ def count_token_matches(haystack: Column, needle: Column) -> Column:
     return F.regexp_count(haystack, pattern)
 
 
-def jaccard(left: Column, right: Column, epsilon: float = 1e-9) -> Column:
-    """Overlap of two token sets divided by their union; epsilon keeps 0/0 at 0."""
-    union = F.size(F.array_union(left, right))
-    return F.size(F.array_intersect(left, right)) / (union + F.lit(epsilon))
+def jaccard(left: Column, right: Column, epsilon: float = 0.0) -> Column:
+    """Overlap of two token sets by their union; epsilon keeps scores above zero."""
+    both, either = F.size(F.array_intersect(left, right)), F.size(F.array_union(left, right))
+    score = (both + F.lit(epsilon)) / (either + F.lit(epsilon))
+    return score if epsilon else F.when(either > 0, score).otherwise(0.0)
 
 
 _PLAIN = str.maketrans(QUOTES_AND_DASHES)

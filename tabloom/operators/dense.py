@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.operators.layout import spread
 from tabloom.operators.ranking import top_k
 
 # Copies of a vector must tie exactly, whatever the order of a floating sum.
@@ -110,7 +109,7 @@ def _by_broadcast(queries: DataFrame, corpus: DataFrame, k: int, schema: str) ->
             rows, ids, scores = best
             yield pd.DataFrame({"query_id": [query_ids[r] for r in rows], "table_id": ids, "score": scores})
 
-    return spread(corpus.select("table_id", "embedding")).mapInPandas(scan, schema)
+    return corpus.select("table_id", "embedding").mapInPandas(scan, schema)
 
 
 def _by_blocks(queries: DataFrame, corpus: DataFrame, k: int, schema: str, n_queries: int) -> DataFrame:

@@ -142,6 +142,7 @@ def _header_names(row: list[str]) -> list[str]:
     return names
 
 
+OUT_ROWS = 20_000
 _PAGE_CELLS = (
     "page_id {id}, table_ix int, begin int, end int, infobox boolean, n_header_rows int, row int, col int, text string"
 )
@@ -157,10 +158,10 @@ def page_cells(pages: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["page_id", "table_ix", "begin", "end", "infobox", "n_header_rows", "row", "col", "text"]
+        out = []
         for batch in batches:
             for page_id, html in zip(batch["page_id"], batch["html"]):
                 raw = (html or "").encode()
-                out = []
                 for table_ix, (begin, end) in enumerate(table_spans_of(raw)):
                     parser = _FirstTable()
                     parser.feed(raw[begin:end].decode("utf-8", "replace"))
@@ -171,8 +172,11 @@ def page_cells(pages: DataFrame) -> DataFrame:
                     for r, line in enumerate(lines):
                         for c, value in enumerate(line):
                             out.append((page_id, table_ix, begin, end, parser.infobox, n_head, r - n_head, c, value))
-                if out:
+                if len(out) >= OUT_ROWS:
                     yield pd.DataFrame(out, columns=columns)
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=columns)
 
     kind = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", "html").mapInPandas(scan, _PAGE_CELLS.format(id=kind))

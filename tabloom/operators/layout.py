@@ -31,9 +31,10 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input with fewer splits than cores, such as one unsplittable file.
+    """Use all cores on a file scan with fewer splits than cores, such as one unsplittable file.
 
-    Large inputs have splits enough and are left alone.
+    Large inputs have splits enough and are left alone. For scans only: counting the
+    partitions of a plan with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -26,10 +26,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-# Tables of long texts, where the work per row is large.
-TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+# Tables of long texts or vectors, where the work per row is large.
+HEAVY_TABLES = {"documents", "pages", "conversations", "benchmark", "embeddings"}
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{table}.parquet")
-    return spread(df) if table in TEXT_TABLES else df
+    return spread(df) if table in HEAVY_TABLES else df
