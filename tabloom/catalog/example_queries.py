@@ -8,7 +8,7 @@ from tabloom.catalog import derived as D
 from tabloom.catalog import sqlparts as S
 from tabloom.catalog.align_queries import ANSWERS, answers
 from tabloom.catalog.dense_queries import KNN, golds, neighbours
-from tabloom.catalog.lexical_queries import BM25, POSTINGS, corpus
+from tabloom.catalog.lexical_queries import BM25, POSTINGS, index
 from tabloom.catalog.lexical_queries import questions as lexical_questions
 from tabloom.functions import numbers, text
 from tabloom.model import order_cells, order_tables
@@ -340,7 +340,7 @@ def j20(spark, folder):
     from tabloom.operators.layout import shared_folder
     from tabloom.sources import neighbours as files
 
-    scores = lexical.bm25_scores(lexical_questions(spark, folder), lexical.postings(corpus(spark, folder)))
+    scores = lexical.bm25_scores(lexical_questions(spark, folder), index(spark, folder))
     hits = lexical.retrieve(scores, 20).withColumnRenamed("question_id", "query_id")
     path = f"{shared_folder(spark)}/neighbours-{uuid.uuid4().hex}"
     files.write_neighbours(hits, path)
