@@ -16,7 +16,6 @@ HEADLINE = (
     "d10_ndcg",
     "d02_run_programs",
     "d16_end_to_end",
-    "i07_similarity_edges",
     "c04_answerable",
     "d01_denotation",
     "j01_linearize",
