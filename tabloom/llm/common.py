@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -97,3 +97,65 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
         before = signature
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+class Kind:
+    """A kind of span: its pattern, the group that is its value, and the SQL test that a match must pass."""
+
+    def __init__(self, name: str, pattern: str, group: int = 0, test: str = "true") -> None:
+        self.name, self.pattern, self.group, self.test = name, pattern, group, test
+
+
+def row_keys(id_col: str, text: Column) -> list[Column]:
+    """Two hashes of a row's id and text: 128 bits that stand for the row in joins."""
+    number = F.col(id_col).cast("long")
+    return [F.xxhash64(number, text).alias("k1"), F.xxhash64(text, F.lit("row"), number).alias("k2")]
+
+
+def scan(docs: DataFrame, kinds: list[Kind], id_col: str, text_col: str, name: str, context: int = 0) -> DataFrame:
+    """One pass over whole texts, written: (id, k1, k2, t, found) for every row.
+
+    `found` has a struct per match of any kind: the kind, its number among them, the lengths of
+    the gap before it and of itself, its value, and `context` characters on either side (as far
+    as the neighbouring matches of the kind). `t` is a hash of the text alone.
+    """
+    text = F.col("_text")
+    arrays = []
+    for kind in kinds:
+        matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+        gaps = F.split(text, kind.pattern, -1)
+        fields = [
+            F.transform(gaps, lambda g: F.length(g)).alias("gap"),
+            F.transform(matches, lambda m: F.length(m)).alias("size"),
+            (matches if kind.group == 0 else F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group))).alias("value"),
+        ]
+        if context:
+            fields.append(F.transform(gaps, lambda g: F.substring(g, -context, context)).alias("left"))
+            fields.append(F.slice(F.transform(gaps, lambda g: F.substring(g, 1, context)), 2, F.greatest(F.lit(1), F.size(gaps))).alias("right"))
+        zipped = F.slice(F.arrays_zip(*fields), 1, F.size(matches))
+        rows = F.transform(zipped, lambda x, i: F.struct(F.lit(kind.name).alias("kind"), i.alias("number"), *[x[f].alias(f) for f in ("gap", "size", "value", *(("left", "right") if context else ()))]))
+        kept = F.when(text.rlike(kind.pattern), rows)
+        arrays.append(kept)
+    source = docs.select(F.col(id_col).cast("long").alias(id_col), text_or_empty(text_col).alias("_text"))
+    scanned = source.select(id_col, *row_keys(id_col, text), F.xxhash64(text).alias("t"), F.flatten(F.filter(F.array(*arrays), lambda a: a.isNotNull())).alias("found"))
+    return written(scanned, name)
+
+
+def spans(scanned: DataFrame, kinds: list[Kind]) -> DataFrame:
+    """(k1, k2, t, kind, start, end, value, ...) of the matches that pass, once per distinct row.
+
+    Offsets add up over the matches of one kind in one row, dropped ones included.
+    """
+    rows = scanned.where(F.size("found") > 0).dropDuplicates(["k1", "k2"]).select("k1", "k2", "t", F.explode("found").alias("m")).select("k1", "k2", "t", "m.*")
+    ends = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("k1", "k2", "kind").orderBy("number"))
+    placed = rows.withColumn("end", ends.cast("long")).withColumn("start", F.col("end") - F.col("size"))
+    passed = F.lit(False)
+    for kind in kinds:
+        passed = passed | ((F.col("kind") == kind.name) & F.coalesce(F.expr(kind.test), F.lit(False)))
+    return placed.where(passed).drop("gap", "size", "number")
+
+
+def joined(found: Column, order: list[str]) -> Column:
+    """`kind:start:end` of an array of spans by start, then kind as listed, then end, comma-joined."""
+    keyed = F.transform(found, lambda s: F.struct(s["start"], F.array_position(F.array(*map(F.lit, order)), s["kind"]).alias("rank"), s["end"], s["kind"]))
+    return F.array_join(F.transform(F.array_sort(keyed), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from tabloom.llm import bpe, simhash, tokenfiles
+from tabloom.llm import bpe, decontam, pii, quality, secrets, simhash, tokenfiles
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {
+    "op2_linked_secrets": secrets.op2_linked_secrets,
+    "op3_byte_cnn": quality.op3_byte_cnn,
     "op4_bpe_rank_queue": bpe.op4_bpe_rank_queue,
     "op5_token_files": tokenfiles.op5_token_files,
     "op7_simhash": simhash.op7_simhash,
+    "op9_information_pii": pii.op9_information_pii,
+    "op10_pigeonhole_edits": decontam.op10_pigeonhole_edits,
 }
 ORACLES: dict[str, str] = {}
