@@ -6,15 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from tabloom.llm import bpe, decontam, pii, quality, secrets, simhash, tokenfiles
+from tabloom.llm import bpe, chat, decontam, pii, quality, secrets, simhash, tokenfiles, topk, urlfilter
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {
+    "op1_url_equivalence": urlfilter.op1_url_equivalence,
     "op2_linked_secrets": secrets.op2_linked_secrets,
     "op3_byte_cnn": quality.op3_byte_cnn,
     "op4_bpe_rank_queue": bpe.op4_bpe_rank_queue,
     "op5_token_files": tokenfiles.op5_token_files,
+    "op6_impact_topk": topk.op6_impact_topk,
     "op7_simhash": simhash.op7_simhash,
+    "op8_prefix_targets": chat.op8_prefix_targets,
     "op9_information_pii": pii.op9_information_pii,
     "op10_pigeonhole_edits": decontam.op10_pigeonhole_edits,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_url_equivalence": urlfilter.OP1_SQL,
+    "op6_impact_topk": topk.OP6_SQL,
+    "op8_prefix_targets": chat.OP8_SQL,
+}
