@@ -3,9 +3,10 @@
 Vectors are indexed in blocks. In a block, every dimension's postings are in order of value and
 are cut into segments of equal quantised value. For a query, a segment's impact is what its
 postings add to a score above the least that the dimension can give. Segments are processed in
-rounds of falling impact and add the least they stand for. What the unprocessed segments and the
-quantisation could still add bounds every score from above, so the search of a block stops only
-when most vectors are proven to lie below the k-th exact score; the others are rescored exactly.
+rounds of falling impact and add the least they stand for. What the quantisation and the
+dimensions in which a vector was not met could still add bounds its score from above, so the
+search of a block stops when most vectors are proven to lie below the k-th exact score; the
+others are rescored exactly.
 A block whose best possible score is below it is not searched at all.
 """
 
@@ -21,13 +22,14 @@ from tabloom.llm.common import written
 
 K = 5
 SCALE = 256
-LEVELS = 32
+LEVELS = 64
 #: Vectors of an index block, queries of a query block, index blocks of one task.
-BLOCK_ROWS, QUERY_ROWS, TASK_BLOCKS = 2048, 512, 8
-#: Rounds, as shares of the largest impact of a query in the block.
-ROUNDS = (0.5, 0.25, 0.1, 0.0)
+BLOCK_ROWS, QUERY_ROWS, TASK_BLOCKS = 8192, 512, 2
+#: Rounds, as shares of the largest impact of a query in the block. After the last one whatever
+#: has not been proven out is rescored: that is exact, and cheaper than its small impacts.
+ROUNDS = (0.1, 0.05)
 #: A block's search stops when at most this share of it can still be among the best.
-POSSIBLE = 0.1
+POSSIBLE = 0.2
 
 
 class Block:
@@ -44,7 +46,16 @@ class Block:
         counts = np.zeros((vectors.shape[1], LEVELS + 1), np.int64)
         np.add.at(counts, (np.broadcast_to(dims, level.shape), level), 1)
         self.at_least = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]  # postings of a level or above
-        self.levels = np.take_along_axis(level.T, self.order.astype(np.int64), 1)
+        self.levels = np.take_along_axis(level.T.astype(np.uint8), self.order.astype(np.int64), 1)
+        self.largest = max(-int(low.min(initial=0)), int(high.max(initial=0)))
+        self.floats = vectors.astype(np.float64)
+
+    def exact(self, places: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Integer scores; in floating point where every partial sum is a whole number below 2^53."""
+        if self.largest * int(np.abs(query).sum()) < 1 << 53:
+            held = self.floats if len(places) == len(self.floats) else self.floats[places]
+            return (held @ query.astype(np.float64)).astype(np.int64)
+        return self.vectors[places] @ query
 
     def search(self, query: np.ndarray, k: int, floor: int | None, skip: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, exact scores) of all vectors that can be among the k best given the k-th score so far."""
@@ -60,32 +71,33 @@ class Block:
         gained = np.zeros(n)
         done = np.zeros(len(query), np.int64)
         possible = np.arange(n)
+        met, met_dims = [], []
         for share in ROUNDS:
             cut = share * float((unit * LEVELS).max(initial=0))
             first = np.clip(np.ceil((cut + weight) / np.maximum(unit, 1)) - 1, 0, LEVELS).astype(np.int64)  # lowest level processed
             upto = np.where(up, np.take_along_axis(self.at_least, first[:, None], 1)[:, 0], n - np.take_along_axis(self.at_least, (LEVELS - first)[:, None], 1)[:, 0])
-            places, impacts = [], []
-            for d in used:
-                a, b = done[d], upto[d]
-                if b > a:
-                    part = slice(a, b) if up[d] else slice(n - b, n - a)
-                    places.append(self.order[d, part])
-                    level = self.levels[d, part]
-                    impacts.append(unit[d] * (level if up[d] else LEVELS - 1 - level))
-            if places:
-                gained += np.bincount(np.concatenate(places), np.concatenate(impacts), n)
+            now = used[upto[used] > done[used]]
+            if len(now):
+                parts = [slice(a, b) if u else slice(n - b, n - a) for a, b, u in zip(done[now].tolist(), upto[now].tolist(), up[now].tolist(), strict=True)]
+                many = upto[now] - done[now]
+                levels = np.concatenate([self.levels[d, part] for d, part in zip(now, parts, strict=True)])
+                steps = np.where(np.repeat(up[now], many), levels, LEVELS - 1 - levels)
+                met.append(np.concatenate([self.order[d, part] for d, part in zip(now, parts, strict=True)]))
+                met_dims.append(np.repeat(now, many))
+                gained += np.bincount(met[-1], unit[met_dims[-1]] * steps, n)
             done = np.maximum(done, upto)
             if floor is None:
                 best = np.argpartition(gained, n - min(n, 4 * k))[n - min(n, 4 * k) :]
                 best = best[self.ids[best] != skip]
                 if len(best) >= k:
-                    floor = int(np.sort(self.vectors[best] @ query)[-k])
-            rest = int((weight * np.maximum(first * self.step - 1, 0)).sum())
+                    floor = int(np.sort(self.exact(best, query))[-k])
+            rest = weight * np.maximum(first * self.step - 1, 0)
             if floor is not None:
-                possible = np.flatnonzero(base + gained + slack + rest >= floor)
+                seen = sum(np.bincount(places, rest[dims], n) for places, dims in zip(met, met_dims, strict=True))
+                possible = np.flatnonzero(base + gained + slack + rest.sum() - seen >= floor)
                 if len(possible) <= POSSIBLE * n:
                     break
-        return possible, self.vectors[possible] @ query
+        return possible, self.exact(possible, query)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
