@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,10 +24,13 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import text_or_empty
 
-#: Distinct pre-tokens that a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 300_000
+#: Distinct pre-tokens that a Python worker remembers, in two generations: when the younger one
+#: holds half of them it becomes the older one, and what was not met since is forgotten.
+REMEMBERED = 1_000_000
 #: Pre-tokens that are laid out at once; a single longer text is one layout.
-SLICE = 500_000
+SLICE = 1_000_000
+#: Bytes up to which a pre-token's positions are kept as bits of one number.
+SHORT = 128
 
 
 class RankQueue:
@@ -86,10 +90,74 @@ class Encoder:
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: always the lowest-ranked pair, leftmost first."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        return self._encode_short(piece) if len(piece) <= SHORT else self._encode_long(piece)
+
+    def _encode_short(self, piece: bytes) -> list[int]:
+        """The queue of a short pre-token in local names: two levels of wide words, positions as bits."""
+        rank_of = self.ranks.get
+        n = len(piece)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pair: list[int | None] = [rank_of(piece[k : k + 2]) for k in range(n - 1)]
+        pair.append(None)
+        upper, lower, buckets = 0, {}, {}
+        waiting = [(rank, k) for k, rank in enumerate(pair) if rank is not None]
+        while True:
+            for rank, k in waiting:
+                if rank in buckets:
+                    buckets[rank] |= 1 << k
+                else:
+                    buckets[rank] = 1 << k
+                    word = rank >> 8
+                    lower[word] = lower.get(word, 0) | 1 << (rank & 255)
+                    upper |= 1 << word
+            if not upper:
+                break
+            word = (upper & -upper).bit_length() - 1
+            bits = lower[word]
+            rank = word << 8 | (bits & -bits).bit_length() - 1
+            positions = buckets[rank]
+            k = (positions & -positions).bit_length() - 1
+            positions &= positions - 1
+            if positions:
+                buckets[rank] = positions
+            else:
+                del buckets[rank]
+                bits &= bits - 1
+                lower[word] = bits
+                if not bits:
+                    upper &= upper - 1
+            waiting = []
+            if pair[k] != rank:
+                continue  # stale
+            gone = after[k]
+            after[k] = follower = after[gone]
+            pair[gone] = None
+            new = None
+            if follower < n:
+                before[follower] = k
+                new = rank_of(piece[k : after[follower]])
+                if new is not None:
+                    waiting.append((new, k))
+            pair[k] = new
+            previous = before[k]
+            if previous >= 0:
+                new = rank_of(piece[previous:follower])
+                if new != pair[previous]:
+                    pair[previous] = new
+                    if new is not None:
+                        waiting.append((new, previous))
+        out, k = [], 0
+        while k < n:
+            out.append(rank_of(piece[k : after[k]]))
+            k = after[k]
+        return out
+
+    def _encode_long(self, piece: bytes) -> list[int]:
+        """The same by `RankQueue`, whose cost does not grow with the number of positions in a bucket."""
+        ranks = self.ranks
         n = len(piece)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         pair: list[int | None] = [ranks.get(piece[k : k + 2]) for k in range(n - 1)] + [None]
@@ -130,6 +198,11 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, ids))
 
 
+def pack(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -144,7 +217,22 @@ class Layout:
     """Puts ids of distinct pre-tokens together for whole texts."""
 
     def __init__(self, encode_missing, remembered: int = REMEMBERED) -> None:
-        self.encode_missing, self.remembered, self.known = encode_missing, remembered, {}
+        self.encode_missing, self.remembered, self.young, self.old = encode_missing, remembered, {}, {}
+
+    def _found(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.young.get, words))
+        unmet = [k for k, ids in enumerate(found) if ids is None]
+        missing = []
+        for k in unmet:
+            found[k] = self.old.get(words[k])
+            if found[k] is None:
+                missing.append(k)
+        for k, ids in zip(missing, self.encode_missing([words[k] for k in missing]), strict=True):
+            found[k] = ids
+        if len(self.young) + len(unmet) > self.remembered // 2:
+            self.old, self.young = self.young, {}
+        self.young.update((words[k], found[k]) for k in unmet)
+        return found
 
     def __call__(self, words: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of a run of rows, offsets of the rows in them)."""
@@ -154,12 +242,7 @@ class Layout:
             last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + SLICE, "right")) - 1)
             flat = words.values.slice(bounds[first], bounds[last] - bounds[first]).dictionary_encode()
             distinct = flat.dictionary.to_pylist()
-            if len(self.known) + len(distinct) > self.remembered:
-                self.known = {}
-            missing = [w for w in distinct if w not in self.known]
-            if missing:
-                self.known.update(zip(missing, self.encode_missing(missing), strict=True))
-            found = [self.known[w] for w in distinct]
+            found = self._found(distinct)
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             ids = np.frombuffer(b"".join(found), "<u4") if found else np.zeros(0, "<u4")
             lengths >>= 2
@@ -187,7 +270,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks_path)
         layout = _layout(ranks_path)
-        layout.encode_missing = lambda words: [np.array(encoder.encode(w.encode()), "<u4").tobytes() for w in words]
+        layout.encode_missing = lambda words: [pack(encoder.encode(w.encode())) for w in words]
         for batch in batches:
             for first, ids, rows in layout(batch.column(1)):
                 counts = np.diff(rows)

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.bpe import Layout, pretokens
+from tabloom.llm.bpe import Layout, pack, pretokens
 from tabloom.llm.common import shared_folder, text_or_empty
 
 #: The dictionary is trained on this many documents at most (smallest hash of the id first) ...
@@ -55,7 +55,10 @@ def _ids(batch: pa.RecordBatch, path: str) -> Iterator[np.ndarray]:
     tokenizer, layout = _tokenizer(path)
 
     def missing(words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        found = []
+        for at in range(0, len(words), 2048):
+            found += [pack(e.ids) for e in tokenizer.encode_batch_fast(words[at : at + 2048], add_special_tokens=False)]
+        return found
 
     layout.encode_missing = missing
     whole = batch.column(2)
@@ -65,9 +68,11 @@ def _ids(batch: pa.RecordBatch, path: str) -> Iterator[np.ndarray]:
             yield ids[rows[k] : rows[k + 1]] if text is None else np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
-def train_dictionary(prepared: DataFrame, path: str, id_col: str) -> bytes:
+def train_dictionary(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str) -> bytes:
     """A dictionary from a bounded sample of serialized id arrays; empty if there is nothing to learn from."""
-    sample = prepared.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_DOCS)
+    ids = docs.select(F.col(id_col).cast("long").alias("id")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS).distinct()
+    chosen = docs.join(F.broadcast(ids), F.col(id_col).eqNullSafe(F.col("id"))).select(id_col, text_col)
+    sample = _prepared(chosen, path, pattern, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,7 +82,7 @@ def train_dictionary(prepared: DataFrame, path: str, id_col: str) -> bytes:
                 parts.append(ids[at : at + SAMPLE_BYTES // 4].tobytes())
             yield pa.record_batch([batch.column(0), pa.array(parts, pa.binary())], names=["id", "ids"])
 
-    samples = [bytes(r[1]) for r in sorted(sample.mapInArrow(run, "id long, ids binary").collect(), key=lambda r: (r[0] is not None, r[0] or 0)) if r[1]]
+    samples = [bytes(r[1]) for r in sorted(sample.mapInArrow(run, "id long, ids binary").collect(), key=lambda r: (r[0] is not None, r[0] or 0, r[1])) if r[1]][:SAMPLE_DOCS]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -96,7 +101,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, pattern: str, end_i
     """
     spark = docs.sparkSession
     source = docs.select(id_col, text_col)
-    dictionary = train_dictionary(_prepared(source, tokenizer_path, pattern, id_col, text_col), tokenizer_path, id_col)
+    dictionary = train_dictionary(source, tokenizer_path, pattern, id_col, text_col)
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, bytearray(dictionary))], "dict_sha256 string, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
     ordered = _prepared(source.repartitionByRange(id_col).sortWithinPartitions(id_col), tokenizer_path, pattern, id_col, text_col).withColumn("part", F.spark_partition_id())
