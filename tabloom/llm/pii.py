@@ -58,15 +58,18 @@ def _neighbours(base: DataFrame) -> DataFrame:
     return both.select("k1", "k2", "t", "entity", F.lower("w.value").alias("word"), (F.col("offset") + F.col("w.start")).alias("start"), (F.col("offset") + F.col("w.end")).alias("end"))
 
 
-def _revealing(docs: DataFrame, neighbours: DataFrame, text_col: str) -> DataFrame:
-    """(entity, word, share): how much of the entity's information the word gives, for pairs with support."""
+def _revealing(docs: DataFrame, neighbours: DataFrame, copies: DataFrame, text_col: str) -> DataFrame:
+    """(entity, word, share): how much of the entity's information the word gives, for pairs with support.
+
+    All counts are of rows; `copies` (k1, k2, copies) says how many rows a distinct one stands for.
+    """
     total = docs.count()
-    meets = neighbours.select("entity", "word", "k1", "k2", "t").distinct()
-    pairs = meets.groupBy("entity", "word").agg(F.count(F.lit(1)).alias("both"), F.approx_count_distinct("t").alias("texts"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+    meets = neighbours.select("entity", "word", "k1", "k2", "t").distinct().join(copies, ["k1", "k2"])
+    pairs = meets.groupBy("entity", "word").agg(F.sum("copies").alias("both"), F.approx_count_distinct("t").alias("texts"), F.min("t").alias("t0"), F.max("t").alias("t1"))
     pairs = written(pairs.where((F.col("both") >= SUPPORT) & (F.col("t0") != F.col("t1")) & (F.col("texts") >= SUPPORT)).select("entity", "word", "both"), "pii-pairs")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text_col)), F.lit(_WORD), F.lit(0)))).alias("word"))
     known = words.groupBy("word").agg(F.count(F.lit(1)).alias("word_docs"))
-    entities = neighbours.select("entity", "k1", "k2").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
+    entities = neighbours.select("entity", "k1", "k2").distinct().join(copies, ["k1", "k2"]).groupBy("entity").agg(F.sum("copies").alias("entity_docs"))
     counted = pairs.join(known, "word").join(entities, "entity")
     information = F.log(F.lit(float(max(total, 1))) / F.col("entity_docs"))
     gained = F.log(F.lit(float(max(total, 1))) * F.col("both") / (F.col("entity_docs") * F.col("word_docs")))
@@ -84,7 +87,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     base = spans(scanned, KINDS).withColumn("entity", F.concat(F.col("kind"), F.lit(":"), F.when(F.col("kind") == "email", F.lower("value")).when(F.col("kind") == "ip", F.col("value")).otherwise(F.expr(_DIGITS))))
     base = written(base.drop("value"), "pii-base")
     neighbours = written(_neighbours(base), "pii-words")
-    revealing = _revealing(docs, neighbours, text_col)
+    copies = scanned.where(F.size("found") > 0).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
+    revealing = _revealing(docs, neighbours, copies, text_col)
     terms = neighbours.join(revealing, ["entity", "word"]).groupBy("k1", "k2", "start", "end").agg(F.max("share").alias("share"))
     terms = terms.select("k1", "k2", "start", "end", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("kind"))
     every = base.select("k1", "k2", "start", "end", "kind").unionByName(terms)
