@@ -76,7 +76,7 @@ def test_linked_secrets(spark):
 def test_pii_spans_and_revealing_terms(spark):
     secret = "mallory@corp.example.com"
     rows = [(k, f"note {k} says zanzibar {secret} today") for k in range(6)] + [(10 + k, f"plain {'note' if k % 2 else 'says'} text today number {k}") for k in range(60)]
-    rows += [(90, None), (91, ""), (None, "a@b.c 256.1.1.1 10.0.0.255 4111 1111 1111 1111 +49 (0) 170 1234567 x"), (92, "a" * 50_000)]
+    rows += [(90, None), (91, ""), (None, "a@b.c 256.1.1.1 10.0.0.255 card 4111 1111 1111 1111 +49 (0) 170 1234567 x"), (92, "a" * 50_000)]
     found = pii.find(docs(spark, rows + rows[:1]))
     got = {r.doc_id: sorted((s["start"], s["end"], s["kind"]) for s in r.spans) for r in found.collect()}
     assert found.count() == len(rows) + 1
