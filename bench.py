@@ -12,6 +12,8 @@ from tabloom import catalog
 
 HEADLINE = (
     "i03_bm25_top10",
+    "i07_similarity_edges",
+    "i07_group_similar",
     "c09_nearest",
     "d10_ndcg",
     "d02_run_programs",
