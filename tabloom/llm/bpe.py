@@ -26,9 +26,9 @@ from tabloom.llm.common import text_or_empty
 
 #: Distinct pre-tokens that a Python worker remembers, in two generations: when the younger one
 #: holds half of them it becomes the older one, and what was not met since is forgotten.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Pre-tokens that are laid out at once; a single longer text is one layout.
-SLICE = 1_000_000
+SLICE = 500_000
 #: Bytes up to which a pre-token's positions are kept as bits of one number.
 SHORT = 128
 
