@@ -216,8 +216,8 @@ def pretokens(text: Column, pattern: str) -> Column:
 class Layout:
     """Puts ids of distinct pre-tokens together for whole texts."""
 
-    def __init__(self, encode_missing, remembered: int = REMEMBERED) -> None:
-        self.encode_missing, self.remembered, self.young, self.old = encode_missing, remembered, {}, {}
+    def __init__(self, encode_missing, remembered: int = REMEMBERED, run: int = SLICE) -> None:
+        self.encode_missing, self.remembered, self.run, self.young, self.old = encode_missing, remembered, run, {}, {}
 
     def _found(self, words: list[str]) -> list[bytes]:
         found = list(map(self.young.get, words))
@@ -239,7 +239,7 @@ class Layout:
         bounds = words.offsets.to_numpy()
         first = 0
         while first < len(words):
-            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + SLICE, "right")) - 1)
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + self.run, "right")) - 1)
             flat = words.values.slice(bounds[first], bounds[last] - bounds[first]).dictionary_encode()
             distinct = flat.dictionary.to_pylist()
             found = self._found(distinct)

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.bpe import Layout, pack, pretokens
+from tabloom.llm.bpe import Layout, pretokens
 from tabloom.llm.common import shared_folder, text_or_empty
 
 #: The dictionary is trained on this many documents at most (smallest hash of the id first) ...
@@ -30,6 +30,8 @@ SAMPLE_BYTES = 4096
 DICTIONARY_BYTES = 32768
 BLOCK_BYTES = 1 << 20
 BLOCK_DOCS = 4096
+#: Pre-tokens that are laid out at once: more of them at a time repeat fewer look-ups.
+RUN = 2_000_000
 BLOCKS = "part int, block int, dict_sha256 string, n_docs int, first_id long, last_id long, doc_ids binary, counts binary, offsets binary, frames binary"
 
 
@@ -37,7 +39,7 @@ BLOCKS = "part int, block int, dict_sha256 string, n_docs int, first_id long, la
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), Layout(None)
+    return Tokenizer.from_file(path), Layout(None, run=RUN)
 
 
 def _prepared(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str) -> DataFrame:
@@ -57,7 +59,11 @@ def _ids(batch: pa.RecordBatch, path: str) -> Iterator[np.ndarray]:
     def missing(words: list[str]) -> list[bytes]:
         found = []
         for at in range(0, len(words), 2048):
-            found += [pack(e.ids) for e in tokenizer.encode_batch_fast(words[at : at + 2048], add_special_tokens=False)]
+            some = words[at : at + 2048]
+            encoded = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(encoded.ids, "<u4").tobytes()
+            ends = (4 * np.cumsum(np.bincount(encoded.word_ids, minlength=len(some)))).tolist()
+            found += [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         return found
 
     layout.encode_missing = missing
