@@ -140,7 +140,7 @@ pt AS (SELECT candidate_id, c.example_id, list_filter(string_split({S.qa_answer(
 sc AS (SELECT candidate_id, example_id, CAST(em AS INTEGER)::DOUBLE AS exact, CAST(len(list_filter(p, lambda t: list_contains(g, t))) AS DOUBLE) AS same, len(p) AS np, len(g) AS ng FROM pt),
 s AS (SELECT candidate_id, example_id, exact, same / np AS precision, same / ng AS recall, CASE WHEN same = 0 THEN 0 ELSE 2 * (same / np) * (same / ng) / (same / np + same / ng) END AS f1 FROM sc),
 best AS (SELECT c.example_id, c.answer, c.is_correct, s.exact, s.precision, s.recall, s.f1 FROM s JOIN cand c USING (candidate_id)
-  QUALIFY row_number() OVER (PARTITION BY c.example_id ORDER BY score DESC, candidate_id DESC) = 1),
+  QUALIFY row_number() OVER (PARTITION BY c.example_id ORDER BY score DESC, candidate_id) = 1),
 ora AS (SELECT example_id, max(exact) AS oe, max(f1) AS of FROM s GROUP BY 1),
 x AS (SELECT e.example_id, kind, r.example_id IS NOT NULL AS referenced, e.has_correct, b.example_id IS NOT NULL AS predicted, coalesce(b.answer, '') <> '' AS answered,
   coalesce(b.is_correct, FALSE) AS table_ok, coalesce(exact, 0) AS exact, coalesce(precision, 0) AS p, coalesce(recall, 0) AS r, coalesce(f1, 0) AS f1,
@@ -173,9 +173,9 @@ def e2e_inputs(spark, folder):
     "d16_end_to_end",
     f"""WITH {E2E} SELECT round(count_if(table_ok) / count(*)::DOUBLE, 6) AS table_accuracy, round(count_if(table_ok) / count_if(predicted)::DOUBLE, 6) AS table_precision,
       round(count_if(table_ok) / count_if(referenced AND has_correct)::DOUBLE, 6) AS table_recall, round(avg(exact), 6) AS answer_accuracy,
-      round(avg(exact) FILTER (referenced AND kind = 'table'), 6) AS answer_accuracy_table, round(avg(exact) FILTER (referenced AND kind = 'passage'), 6) AS answer_accuracy_passage,
+      round(avg(exact) FILTER (predicted AND referenced AND kind = 'table'), 6) AS answer_accuracy_table, round(avg(exact) FILTER (predicted AND referenced AND kind = 'passage'), 6) AS answer_accuracy_passage,
       round(sum(exact) / count_if(answered), 6) AS answer_precision, round(avg(p), 6) AS answer_token_precision, round(avg(r), 6) AS answer_token_recall, round(avg(f1), 6) AS answer_token_f1,
-      round(avg(f1) FILTER (referenced AND kind = 'table'), 6) AS answer_token_f1_table, round(avg(f1) FILTER (referenced AND kind = 'passage'), 6) AS answer_token_f1_passage,
+      round(avg(f1) FILTER (predicted AND referenced AND kind = 'table'), 6) AS answer_token_f1_table, round(avg(f1) FILTER (predicted AND referenced AND kind = 'passage'), 6) AS answer_token_f1_passage,
       round(avg(of), 6) AS oracle_answer_token_f1, round(avg(oe), 6) AS oracle_answer_accuracy FROM x""",
 )
 def d16(spark, folder):

@@ -74,12 +74,13 @@ def end_to_end_metrics(candidates: DataFrame, references: DataFrame, kinds: Data
     candidates (example_id, candidate_id, answer, score, is_correct): all tables offered
     for an example, answer null when nothing was predicted. references (example_id,
     reference). kinds (example_id, kind) with 'table' or 'passage' fills the subset
-    scores. Examples without references count as zero; averages over nothing are 1.
+    scores, which leave out examples without a prediction. Examples without references count as zero; averages over nothing are 1.
     """
     scored = score_candidates(candidates, references)
-    pick = F.struct(F.col("score"), F.col("candidate_id"))
+    # The best score; among equals the smaller candidate.
+    pick = F.struct((-F.col("score")).alias("score"), F.col("candidate_id"))
     best = scored.groupBy("example_id").agg(
-        F.max_by(F.struct("answer", "is_correct", "exact", "precision", "recall", "f1"), pick).alias("b"),
+        F.min_by(F.struct("answer", "is_correct", "exact", "precision", "recall", "f1"), pick).alias("b"),
         F.max("exact").alias("oracle_exact"),
         F.max("f1").alias("oracle_f1"),
     )
@@ -123,7 +124,7 @@ def end_to_end_metrics(candidates: DataFrame, references: DataFrame, kinds: Data
         return F.when(below > 0, top / below).otherwise(F.lit(1.0))
 
     def subset(name: str, kind: str) -> Column:
-        value = mean(F.when(F.col("referenced") & (F.col("kind") == kind), F.col(name)))
+        value = mean(F.when(F.col("predicted") & F.col("referenced") & (F.col("kind") == kind), F.col(name)))
         return value if kinds is not None else F.lit(None).cast("double")
 
     correct = F.count_if("table_ok")
