@@ -212,8 +212,9 @@ def transpose_infoboxes(cells: DataFrame, keys: list[str] = ["table_id"]) -> Dat
     bare = (F.size(v) < 2) | ((F.size(v) == 2) & (first == F.element_at(v, -1)))
     pair = F.struct(F.when(bare, "").otherwise(first).alias("header"), F.when(bare, first).otherwise(rest).alias("value"))
     columns = rows.where("row >= 0").select(*keys, (F.col("row") + 1).alias("col"), pair.alias("p"))
-    titles = rows.where(F.col("row") == HEADER_ROW).select(
-        *keys, F.lit(0).alias("col"), F.struct(F.lit("").alias("header"), first.alias("value")).alias("p")
+    title = F.coalesce(F.max(F.when(F.col("row") == HEADER_ROW, first)), F.lit("0"))
+    titles = rows.groupBy(*keys).agg(title.alias("value")).select(
+        *keys, F.lit(0).alias("col"), F.struct(F.lit("").alias("header"), F.col("value")).alias("p")
     )
     both = F.array(F.struct(F.lit(HEADER_ROW).alias("row"), F.col("p.header").alias("text")), F.struct(F.lit(0).alias("row"), F.col("p.value").alias("text")))
     return titles.unionByName(columns).select(*keys, "col", F.explode(both).alias("e")).select(*keys, "e.row", "col", "e.text")

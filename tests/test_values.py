@@ -271,3 +271,12 @@ def test_count_interpretations(spark):
     asked = spark.createDataFrame([("q", "t", 2.0)], "question_id string, table_id string, float_answer double")
     rows = generate.count_interpretations(asked, cells).collect()
     assert rows and all(len(r.rows) == 2 and r.agg == "COUNT" for r in rows)
+
+
+def test_infobox_without_header_keeps_its_first_column(spark):
+    cells = spark.createDataFrame(
+        [("a", -1, 0, "Name"), ("a", 0, 0, "k"), ("a", 0, 1, "v"), ("b", 0, 0, "k"), ("b", 0, 1, "w")],
+        "table_id string, row int, col int, text string",
+    )
+    got = extract.transpose_infoboxes(cells).where("row = 0").orderBy("table_id", "col").collect()
+    assert [(r.table_id, r.col, r.text) for r in got] == [("a", 0, "Name"), ("a", 1, "v"), ("b", 0, "0"), ("b", 1, "w")]
