@@ -280,3 +280,10 @@ def test_infobox_without_header_keeps_its_first_column(spark):
     )
     got = extract.transpose_infoboxes(cells).where("row = 0").orderBy("table_id", "col").collect()
     assert [(r.table_id, r.col, r.text) for r in got] == [("a", 0, "Name"), ("a", 1, "v"), ("b", 0, "0"), ("b", 1, "w")]
+
+
+def test_noisy_coordinates_of_mode_none_are_empty(spark):
+    coords = spark.createDataFrame([("q", "a", 0, 0)], "question_id string, table_id string, row int, col int")
+    cells = spark.createDataFrame([("a", 0, 0, "x"), ("a", 0, 1, "y")], "table_id string, row int, col int, text string")
+    assert generate.noisy_coordinates(coords, cells, "none").count() == 0
+    assert [(r.row, r.col) for r in generate.noisy_coordinates(coords, cells, "full").collect()] == [(0, 1)]
