@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tabloom.catalog import derived as D
@@ -540,7 +541,8 @@ def f04(spark, folder):
     f"{S.WITH_OT} SELECT count(*) AS tables_seen, count_if(n_rows < 2) AS too_small, count_if(n_rows > 5) AS large FROM ot_tables",
 )
 def d27(spark, folder):
-    tables = order_tables(spark, folder)
-    return tables.agg(
-        F.count("*").alias("tables_seen"), F.count_if(F.col("n_rows") < 2).alias("too_small"), F.count_if(F.col("n_rows") > 5).alias("large")
-    )
+    seen = Observation("tables")
+    counted = reports.with_counters(order_tables(spark, folder), seen, too_small=F.col("n_rows") < 2, large=F.col("n_rows") > 5)
+    counted.write.format("noop").mode("overwrite").save()
+    counts = seen.get
+    return spark.createDataFrame([(counts["rows"], counts["too_small"], counts["large"])], "tables_seen long, too_small long, large long")

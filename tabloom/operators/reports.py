@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tabloom.functions import text
@@ -37,9 +37,9 @@ def answer_file_accuracy(golds: DataFrame, answers: DataFrame) -> DataFrame:
     return left.join(right, "question_id", "left").agg(F.avg(same.cast("double")).alias("exact_match"), F.count("*").alias("n"))
 
 
-def with_counters(df: DataFrame, name: str, **conditions: Column) -> DataFrame:
-    """Count rows by condition while they pass; read through an Observation of this name."""
-    return df.observe(name, F.count("*").alias("rows"), *[F.count_if(c).alias(k) for k, c in conditions.items()])
+def with_counters(df: DataFrame, counters: Observation, **conditions: Column) -> DataFrame:
+    """Count rows by condition while they pass; `counters.get` has the counts after the next action."""
+    return df.observe(counters, F.count("*").alias("rows"), *[F.count_if(c).alias(k) for k, c in conditions.items()])
 
 
 def missing_ids(ids: DataFrame, predictions: DataFrame, key: str = "question_id") -> DataFrame:

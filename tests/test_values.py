@@ -3,10 +3,11 @@
 import math
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tabloom.functions import ids, numbers, text
-from tabloom.operators import align, dedup, dense, extract, generate, lexical, linearize, metrics, programs, reader
+from tabloom.operators import align, dedup, dense, extract, generate, lexical, linearize, metrics, programs, reader, reports
 from tabloom.operators.numeric import column_ranks, consolidate, with_values
 
 
@@ -256,6 +257,41 @@ def test_masking_keeps_cap_and_markers(spark):
     assert all(r.masked == r.token for r in rows if r.token in ("[CLS]", "[SEP]"))
 
 
+def test_masking_takes_whole_cells_and_at_least_one_token(spark):
+    cells = cells_of(spark, "t", [["h", "i"]] + [["three word cell", "one"]] * 20)
+    questions = spark.createDataFrame([("q", "t", "what is it?"), ("r", "t", "who?")], "question_id string, table_id string, text string")
+    tokens = linearize.serialize(questions, cells)
+    length = {r.question_id: r["count"] for r in tokens.groupBy("question_id").count().collect()}
+    for rate, most in ((0.0, 20), (0.15, 20), (0.9, 7)):
+        rows = linearize.mask_tokens(tokens, seed=2, rate=rate, most=most).collect()
+        assert len(rows) == sum(length.values())
+        for question, n in length.items():
+            mine = [r for r in rows if r.question_id == question]
+            assert sum(r.label is not None for r in mine) == min(most, max(1, round(n * rate)))
+            of_cell = {}
+            for r in mine:
+                if r.segment_id == 1:
+                    of_cell.setdefault((r.row_id, r.column_id), set()).add(r.label is not None)
+            assert all(len(drawn) == 1 for drawn in of_cell.values())
+
+
+def test_random_crop_grows_until_a_step_does_not_fit(spark):
+    cells = cells_of(spark, "t", [["h", "i", "j"]] + [["a b", "c", "d"]] * 200)
+    budgets = spark.createDataFrame([("all", "t", 100_000), *((f"q{k}", "t", 12) for k in range(20))], "question_id string, table_id string, budget int")
+    got = {r.question_id: r for r in linearize.random_crop(budgets, cells, seed=3).collect()}
+    whole = got.pop("all")
+    assert (whole.n_cols, whole.n_rows, whole.n_tokens, whole.cost) == (3, 200, 2, 201 * 4 - 1)
+    assert all(r.cost <= 12 for r in got.values())
+    assert len({(r.n_cols, r.n_rows, r.n_tokens) for r in got.values()}) > 1
+
+
+def test_counters_count_the_rows_that_pass(spark):
+    seen = Observation("numbers")
+    passed = reports.with_counters(spark.range(10), seen, even=F.col("id") % 2 == 0)
+    assert len(passed.collect()) == 10
+    assert seen.get == {"rows": 10, "even": 5}
+
+
 def test_random_pairs_keep_splits_apart(spark):
     records = spark.range(200).select(F.col("id").cast("string").alias("key"), (F.col("id") % 50).cast("string").alias("table_id"))
     pairs = extract.random_pairs(records, n_bins=4, n_shards=5)
