@@ -65,8 +65,9 @@ def _revealing(docs: DataFrame, neighbours: DataFrame, copies: DataFrame, text_c
     """
     total = docs.count()
     meets = neighbours.select("entity", "word", "k1", "k2", "t").distinct().join(copies, ["k1", "k2"])
-    pairs = meets.groupBy("entity", "word").agg(F.sum("copies").alias("both"), F.approx_count_distinct("t").alias("texts"), F.min("t").alias("t0"), F.max("t").alias("t1"))
-    pairs = written(pairs.where((F.col("both") >= SUPPORT) & (F.col("t0") != F.col("t1")) & (F.col("texts") >= SUPPORT)).select("entity", "word", "both"), "pii-pairs")
+    texts = meets.groupBy("entity", "word", "t").agg(F.sum("copies").alias("copies"))
+    pairs = texts.groupBy("entity", "word").agg(F.sum("copies").alias("both"), F.count(F.lit(1)).alias("texts"))
+    pairs = written(pairs.where(F.col("texts") >= SUPPORT).select("entity", "word", "both"), "pii-pairs")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text_col)), F.lit(_WORD), F.lit(0)))).alias("word"))
     known = words.groupBy("word").agg(F.count(F.lit(1)).alias("word_docs"))
     entities = neighbours.select("entity", "k1", "k2").distinct().join(copies, ["k1", "k2"]).groupBy("entity").agg(F.sum("copies").alias("entity_docs"))

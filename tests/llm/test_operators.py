@@ -89,6 +89,13 @@ def test_pii_spans_and_revealing_terms(spark):
     assert pii.sanitise(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_pii_support_is_counted_exactly(spark):
+    name = lambda k: "word" + "".join(chr(97 + int(d)) for d in str(k))
+    rows = [(3 * k + i, f"{'abc'[i] * 2} {k} {name(k)} u{k}@h.example {i}") for k in range(900) for i in range(3)]
+    found = pii.find(docs(spark, rows)).select("doc_id", F.size(F.filter("spans", lambda s: s["kind"] == "remove")).alias("n"))
+    assert found.where("n <> 1").count() == 0
+
+
 def test_quality_learns_and_covers_whole_texts(spark):
     random.seed(5)
     good = [" ".join(random.choice(["the", "river", "runs", "past", "old", "mills", "and", "stone"]) for _ in range(random.randrange(5, 200))) for _ in range(300)]
