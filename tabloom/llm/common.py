@@ -46,31 +46,6 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def regex_spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """Leftmost non-overlapping matches as array<struct<start, end, value>>.
-
-    Offsets are code points, end exclusive. `value` is the given group. A pattern never
-    matches the empty string, so a text has one more gap than matches; a match starts after
-    the gaps and matches before it.
-    """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    values = matches if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-
-    def step(acc: Column, item: Column) -> Column:
-        start = acc["at"] + F.length(item["gap"])
-        end = start + F.length(item["match"])
-        return F.struct(
-            end.alias("at"),
-            F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), item["value"].alias("value")))).alias("spans"),
-        )
-
-    steps = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("match"), values.alias("value"))
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    return F.when(text.rlike(pattern), F.aggregate(steps, zero, step, lambda acc: acc["spans"])).otherwise(empty)
-
-
 def connected_components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of `links` (a, b), root being the smallest node reachable.
 
@@ -117,12 +92,11 @@ def row_keys(id_col: str, text: Column) -> list[Column]:
     return [F.xxhash64(number, text).alias("k1"), F.xxhash64(text, F.lit("row"), number).alias("k2")]
 
 
-def scan(docs: DataFrame, kinds: list[Kind], id_col: str, text_col: str, name: str, context: int = 0) -> DataFrame:
+def scan(docs: DataFrame, kinds: list[Kind], id_col: str, text_col: str, name: str) -> DataFrame:
     """One pass over whole texts, written: (id, k1, k2, t, found) for every row.
 
     `found` has a struct per match of any kind: the kind, its number among them, the lengths of
-    the gap before it and of itself, its value, and `context` characters on either side (as far
-    as the neighbouring matches of the kind). `t` is a hash of the text alone.
+    the gap before it and of itself, and its value. `t` is a hash of the text alone.
     """
     text = F.col("_text")
     arrays = []
@@ -134,11 +108,8 @@ def scan(docs: DataFrame, kinds: list[Kind], id_col: str, text_col: str, name: s
             F.transform(matches, lambda m: F.length(m)).alias("size"),
             (matches if kind.group == 0 else F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group))).alias("value"),
         ]
-        if context:
-            fields.append(F.transform(gaps, lambda g: F.substring(g, -context, context)).alias("left"))
-            fields.append(F.slice(F.transform(gaps, lambda g: F.substring(g, 1, context)), 2, F.greatest(F.lit(1), F.size(gaps))).alias("right"))
         zipped = F.slice(F.arrays_zip(*fields), 1, F.size(matches))
-        rows = F.transform(zipped, lambda x, i: F.struct(F.lit(kind.name).alias("kind"), i.alias("number"), *[x[f].alias(f) for f in ("gap", "size", "value", *(("left", "right") if context else ()))]))
+        rows = F.transform(zipped, lambda x, i: F.struct(F.lit(kind.name).alias("kind"), i.alias("number"), *[x[f].alias(f) for f in ("gap", "size", "value")]))
         kept = F.when(text.rlike(kind.pattern), rows)
         arrays.append(kept)
     source = docs.select(F.col(id_col).cast("long").alias(id_col), text_or_empty(text_col).alias("_text"))

@@ -1,8 +1,8 @@
 """Personal data: patterns, and terms that give a protected entity away.
 
 Patterns find e-mail addresses, IP addresses, payment cards and phone numbers. Each distinct value
-is a protected entity. A word close to a mention reveals the entity as far as meeting the word
-narrows the entity down: the pointwise mutual information of the two over the corpus, as a share
+is a protected entity. A word of a document that holds it reveals the entity as far as meeting
+the word narrows the entity down: the pointwise mutual information of the two over the corpus, as a share
 of the entity's own information, log(N n(e,w) / n(e) n(w)) / log(N / n(e)). Words beyond a
 threshold are generalised to a placeholder; words that give (nearly) all away are removed. Counts
 are over all documents; a pair must be seen in several distinct texts before it is judged.
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import Kind, joined, regex_spans, row_keys, scan, spans, text_or_empty, written
+from tabloom.llm.common import Kind, joined, row_keys, scan, spans, text_or_empty, written
 
 #: The patterns of the kinds. Runs are possessive and start at the run's beginning
 #: (or where the match before ended), which finds the same matches in linear time.
@@ -32,8 +32,6 @@ KINDS = [
 ]
 BASE = [k.name for k in KINDS]
 ORDER = [*BASE, "generalise", "remove"]
-#: Characters on either side of a mention in which words are judged.
-CONTEXT = 48
 #: Share of an entity's information from which a word is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.8, 0.95
 #: Distinct texts in which an entity and a word must meet.
@@ -43,34 +41,33 @@ _WORD = r"\p{L}{3,}+"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[TERM]", "remove": ""}
 
 
-def _neighbours(base: DataFrame) -> DataFrame:
-    """Whole words around each mention: (k1, k2, t, entity, word, start, end)."""
-    sides = []
-    for side in ("left", "right"):
-        context = F.col(side)
-        words = regex_spans(context, _WORD)
-        full = F.length(context) == CONTEXT
-        edge = (lambda w: w["start"] > 0) if side == "left" else (lambda w: w["end"] < CONTEXT)
-        whole = F.filter(words, lambda w: ~full | edge(w))  # noqa: B023
-        offset = F.col("start") - F.length(context) if side == "left" else F.col("end")
-        sides.append(base.select("k1", "k2", "t", "entity", offset.alias("offset"), F.explode(whole).alias("w")))
-    both = sides[0].unionByName(sides[1])
-    return both.select("k1", "k2", "t", "entity", F.lower("w.value").alias("word"), (F.col("offset") + F.col("w.start")).alias("start"), (F.col("offset") + F.col("w.end")).alias("end"))
+def _clear(base: DataFrame, terms: DataFrame) -> DataFrame:
+    """(k1, k2, start, end, kind) of `base` and of those `terms` that overlap no span of it."""
+    columns = ["k1", "k2", "start", "end", "kind"]
+    every = base.select(*columns).unionByName(terms.select(*columns))
+    is_base = F.col("kind").isin(BASE)
+    row = Window.partitionBy("k1", "k2").orderBy("start", "end", "kind")
+    before = F.max(F.when(is_base, F.col("end"))).over(row.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(F.when(is_base, F.col("start"))).over(row.rowsBetween(1, Window.unboundedFollowing))
+    clear = every.withColumn("before", before).withColumn("after", after)
+    return clear.where(is_base | ((F.coalesce("before", F.lit(-1)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end")))).select(*columns)
 
 
-def _revealing(docs: DataFrame, neighbours: DataFrame, copies: DataFrame, text_col: str) -> DataFrame:
+def _revealing(docs: DataFrame, held: DataFrame, words: DataFrame, text_col: str) -> DataFrame:
     """(entity, word, share): how much of the entity's information the word gives, for pairs with support.
 
-    All counts are of rows; `copies` (k1, k2, copies) says how many rows a distinct one stands for.
+    All counts are of rows and of whole texts; `held` (k1, k2, t, entity, copies) says how many
+    rows a distinct one stands for, `words` (k1, k2, word) has the distinct words of its texts.
     """
     total = docs.count()
-    meets = neighbours.select("entity", "word", "k1", "k2", "t").distinct().join(copies, ["k1", "k2"])
+    meets = held.join(words, ["k1", "k2"])
     texts = meets.groupBy("entity", "word", "t").agg(F.sum("copies").alias("copies"))
     pairs = texts.groupBy("entity", "word").agg(F.sum("copies").alias("both"), F.count(F.lit(1)).alias("texts"))
     pairs = written(pairs.where(F.col("texts") >= SUPPORT).select("entity", "word", "both"), "pii-pairs")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text_col)), F.lit(_WORD), F.lit(0)))).alias("word"))
-    known = words.groupBy("word").agg(F.count(F.lit(1)).alias("word_docs"))
-    entities = neighbours.select("entity", "k1", "k2").distinct().join(copies, ["k1", "k2"]).groupBy("entity").agg(F.sum("copies").alias("entity_docs"))
+    found = F.regexp_extract_all(text_or_empty(text_col), F.lit(_WORD), F.lit(0))
+    every = docs.select(F.explode(F.array_distinct(F.transform(found, lambda w: F.lower(w)))).alias("word"))
+    known = every.groupBy("word").agg(F.count(F.lit(1)).alias("word_docs"))
+    entities = held.groupBy("entity").agg(F.sum("copies").alias("entity_docs"))
     counted = pairs.join(known, "word").join(entities, "entity")
     information = F.log(F.lit(float(max(total, 1))) / F.col("entity_docs"))
     gained = F.log(F.lit(float(max(total, 1))) * F.col("both") / (F.col("entity_docs") * F.col("word_docs")))
@@ -81,25 +78,25 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(id, k1, k2, spans) for every row; spans is array<struct<start, end, kind>>, unordered.
 
     Null texts count as empty and have no spans. Repeated rows all get the same spans; null ids
-    are kept. Words inside a pattern's span, or cut by the edge of a context, are never judged.
-    Other columns are ignored. An empty table gives an empty result.
+    are kept. Words that overlap a pattern's span are never replaced on their own. Other columns
+    are ignored. An empty table gives an empty result. Only texts of entities that SUPPORT texts
+    hold are searched for words: no pair of another entity can have support.
     """
-    scanned = scan(docs, KINDS, id_col, text_col, "pii", CONTEXT)
+    scanned = scan(docs, KINDS, id_col, text_col, "pii")
     base = spans(scanned, KINDS).withColumn("entity", F.concat(F.col("kind"), F.lit(":"), F.when(F.col("kind") == "email", F.lower("value")).when(F.col("kind") == "ip", F.col("value")).otherwise(F.expr(_DIGITS))))
     base = written(base.drop("value"), "pii-base")
-    neighbours = written(_neighbours(base), "pii-words")
+    seen = base.select("entity", "t").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= SUPPORT).select("entity")
     copies = scanned.where(F.size("found") > 0).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
-    revealing = _revealing(docs, neighbours, copies, text_col)
-    terms = neighbours.join(revealing, ["entity", "word"]).groupBy("k1", "k2", "start", "end").agg(F.max("share").alias("share"))
-    terms = terms.select("k1", "k2", "start", "end", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("kind"))
-    every = base.select("k1", "k2", "start", "end", "kind").unionByName(terms)
-    is_base = F.col("kind").isin(BASE)
-    row = Window.partitionBy("k1", "k2").orderBy("start", "end", "kind")
-    before = F.max(F.when(is_base, F.col("end"))).over(row.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(is_base, F.col("start"))).over(row.rowsBetween(1, Window.unboundedFollowing))
-    clear = every.withColumn("before", before).withColumn("after", after)
-    clear = clear.where(is_base | ((F.coalesce("before", F.lit(-1)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end"))))
-    per_row = clear.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end", "kind")).alias("spans"))
+    held = written(base.select("k1", "k2", "t", "entity").distinct().join(seen, "entity").join(copies, ["k1", "k2"]), "pii-held")
+    rows = held.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
+    here = [k == F.col(n) for k, n in zip(row_keys(id_col, text_or_empty(text_col)), ("_k1", "_k2"), strict=True)]
+    texts = docs.join(rows, here[0] & here[1], "left_semi")
+    kind = [Kind("word", _WORD)]
+    words = written(spans(scan(texts, kind, id_col, text_col, "pii-texts"), kind).withColumn("word", F.lower("value")).drop("value"), "pii-words")
+    revealing = _revealing(docs, held, words.select("k1", "k2", "word").distinct(), text_col)
+    shares = held.join(revealing, "entity").groupBy("k1", "k2", "word").agg(F.max("share").alias("share"))
+    terms = words.drop("kind").join(shares, ["k1", "k2", "word"]).select("k1", "k2", "start", "end", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("kind"))
+    per_row = _clear(base, terms).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end", "kind")).alias("spans"))
     empty = F.array().cast(per_row.schema["spans"].dataType)
     return scanned.select(id_col, "k1", "k2").join(per_row, ["k1", "k2"], "left").select(id_col, "k1", "k2", F.coalesce("spans", empty).alias("spans"))
 

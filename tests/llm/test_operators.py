@@ -96,6 +96,16 @@ def test_pii_support_is_counted_exactly(spark):
     assert found.where("n <> 1").count() == 0
 
 
+def test_pii_words_are_judged_over_whole_texts(spark):
+    far = " ".join(["text today number"] * 20)
+    rows = [(k, f"zanzibar {k} {far} 12 {secret}, 77 {far} Zanzibar {k}") for k, secret in enumerate(["mallory@corp.example.com"] * 4)]
+    rows += [(10 + k, f"plain text today number {k}") for k in range(60)]
+    found = {r.doc_id: sorted((s["start"], s["kind"]) for s in r.spans) for r in pii.find(docs(spark, rows)).collect()}
+    text = rows[0][1]
+    assert found[0] == [(0, "remove"), (text.index("mallory"), "email"), (text.index("Zanzibar"), "remove")]
+    assert not any(found[10 + k] for k in range(60))
+
+
 def test_quality_learns_and_covers_whole_texts(spark):
     random.seed(5)
     good = [" ".join(random.choice(["the", "river", "runs", "past", "old", "mills", "and", "stone"]) for _ in range(random.randrange(5, 200))) for _ in range(300)]
