@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import bpe, decontam, pii, quality, simhash
-from tabloom.llm.common import shared_folder
+from tabloom.llm.common import row_keys, shared_folder, text_or_empty
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,10 +19,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with a component's smallest id; of several rows with that id, one."""
-    classes = simhash.near_duplicates(docs)
-    kept = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of every component: the smallest id's, null ids last; of several texts with that id, the smallest hash's.
+
+    Rows are told apart by id and text, so a repeated or null id neither drops nor keeps another
+    component's row. Of rows equal in both, one stays.
+    """
+    keys = ["_row1", "_row2"]
+    keyed = docs.select("*", *[k.alias(n) for k, n in zip(row_keys("doc_id", text_or_empty("text")), keys, strict=True)])
+    classes = simhash.near_duplicates(keyed.select("_row1", "text"), "_row1").select("_row1", "component_id").distinct()
+    rows = keyed.select("doc_id", *keys).distinct().join(classes, "_row1")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row2", "_row1")).alias("first")
+    kept = rows.groupBy("component_id").agg(first).select("first._row1", "first._row2")
+    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,3 +35,13 @@ def test_pipeline(spark, tmp_path):
     assert seen[4] == seen[3] == seen[2]
     whole = corpus_pipeline.run(spark, f"{tmp_path}/in")
     assert whole.select(F.min("n_tokens")).first()[0] is not None and whole.count() == len(seen[4])
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    text = {k: " ".join(f"{k}{n}" for n in range(40)) for k in "abcdefg"}
+    rows = [(None, "a"), (1, "b"), (1, "c"), (None, "d"), (5, "d"), (None, "d"), (2, "e"), (3, "e"), (3, "f"), (4, "g"), (4, "g")]
+    docs = spark.createDataFrame([(i, text[k], k, "s", 1) for i, k in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.one_of_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.lang) for r in kept.collect()), key=lambda x: x[1])
+    assert got == [(None, "a"), (1, "b"), (1, "c"), (5, "d"), (2, "e"), (3, "f"), (4, "g")]
