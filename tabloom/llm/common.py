@@ -135,3 +135,10 @@ def joined(found: Column, order: list[str]) -> Column:
     """`kind:start:end` of an array of spans by start, then kind as listed, then end, comma-joined."""
     keyed = F.transform(found, lambda s: F.struct(s["start"], F.array_position(F.array(*map(F.lit, order)), s["kind"]).alias("rank"), s["end"], s["kind"]))
     return F.array_join(F.transform(F.array_sort(keyed), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def duckdb_crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of an ASCII string expression, which DuckDB lacks."""
+    bits = "list_reduce(list_prepend(xor(c, b), [0,1,2,3,4,5,6,7]::BIGINT[]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda d: ascii(d)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {bits}), 4294967295)"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from tabloom.llm import bpe, chat, decontam, pii, quality, secrets, simhash, tokenfiles, topk, urlfilter
+from tabloom.llm import bpe, chat, decontam, merkle, pii, prefixtrie, quality, rangejoin, secrets, simhash, tokenfiles, topk, urlfilter
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {
     "op1_url_equivalence": urlfilter.op1_url_equivalence,
@@ -19,9 +19,15 @@ QUERIES: dict[str, Callable[..., DataFrame]] = {
     "op8_prefix_targets": chat.op8_prefix_targets,
     "op9_information_pii": pii.op9_information_pii,
     "op10_pigeonhole_edits": decontam.op10_pigeonhole_edits,
+    "op11_metric_join": rangejoin.op11_metric_join,
+    "op12_merkle": merkle.op12_merkle,
+    "op13_prefix_trie": prefixtrie.op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {
     "op1_url_equivalence": urlfilter.OP1_SQL,
     "op6_impact_topk": topk.OP6_SQL,
     "op8_prefix_targets": chat.OP8_SQL,
+    "op11_metric_join": rangejoin.OP11_SQL,
+    "op12_merkle": merkle.OP12_SQL,
+    "op13_prefix_trie": prefixtrie.OP13_SQL,
 }
