@@ -8,6 +8,8 @@ them are partial.
 from __future__ import annotations
 
 import re
+from collections import deque
+from collections.abc import Iterator
 from datetime import date
 
 import pandas as pd
@@ -162,19 +164,47 @@ def cell_values(c: Column) -> Column:
     )
 
 
-_NUMBER_IN_TEXT = re.compile(r"((^|\s)[+-])?((\.\d+)|(\d+(,\d\d\d)*(\.\d*)?))")
+_DIGITS, _WORDS = re.compile(r"\d+"), re.compile(r"[^\W_]+")
 _DATE_REGEXES = [(re.compile(f"{shape}$"), order) for shape, order in DATE_SHAPES]
 _DATE_WORD = re.compile(rf"(\d{{4}}s?|{_MONTH})$")
 _MONTH_NUMBER = {name: i for i, m in enumerate(MONTHS, 1) for name in (m, m[:3])}
 _WORD_NUMBER = {**NUMBER_WORDS, **ORDINAL_WORDS}
 
 
-def _number_of(text):
+def _finite(text: str) -> float | None:
+    """The number that a literal stands for, unless it is none or beyond all bounds."""
     try:
-        value = float(re.sub(ORDINAL_SUFFIX, "", text).replace(",", ""))
+        value = float(text.replace(",", ""))
     except ValueError:
         return None
-    return None if value != value or value == float("inf") else value
+    return value if value < float("inf") else None
+
+
+def _literals(text: str) -> Iterator[tuple[int, int, float]]:
+    """Digit runs grown into numbers: groups of three after commas, a fraction, a sign after a blank.
+
+    A walk over the runs from left to right. `free` is where the next number may start; digits
+    that a group of three leaves over start a number of their own.
+    """
+    free = 0
+    for run in _DIGITS.finditer(text):
+        at, stop = max(run.start(), free), run.end()
+        while at < stop:
+            begin, end = at, stop
+            if begin > free and text[begin - 1] == "." and begin == run.start():
+                begin -= 1  # a bare fraction takes neither groups nor a further point
+            else:
+                while text[end : end + 1] == "," and (group := _DIGITS.match(text, end + 1, end + 4)) and group.end() == end + 4:
+                    end += 4
+                if text[end : end + 1] == ".":
+                    fraction = _DIGITS.match(text, end + 1)
+                    end = fraction.end() if fraction else end + 1
+            if begin > free and text[begin - 1] in "+-" and (begin == 1 or begin - 2 >= free and text[begin - 2].isspace()):
+                begin -= 1 if begin == 1 else 2
+            value = _finite(text[begin:end])
+            if value is not None:
+                yield begin, end, value
+            free = at = end
 
 
 def _date_of(text):
@@ -192,43 +222,53 @@ def _date_of(text):
     return None
 
 
+def _candidates(text: str) -> Iterator[tuple[int, int, tuple]]:
+    """Every span that reads as a number or a date, with its value: (kind, number, year, month, day).
+
+    Numerals come from the digits, the rest from one walk over the words. The walk keeps the last
+    words as possible starts of a date that ends at the current one, and asks for a date only
+    where the stretch holds a year or a month.
+    """
+    numerals = set()
+    for begin, end, value in _literals(text):
+        numerals.add((begin, end))
+        yield begin, end, (NUMBER, value, None, None, None)
+    starts: deque[int] = deque(maxlen=MAX_DATE_WORDS)
+    dated: deque[bool] = deque(maxlen=MAX_DATE_WORDS)
+    for hit in _WORDS.finditer(text):
+        (begin, end), word = hit.span(), hit.group()
+        if (begin, end) not in numerals:
+            value = _WORD_NUMBER.get(word)
+            if value is None and word[0].isdigit():
+                value = _finite(re.sub(ORDINAL_SUFFIX, "", word))
+            if value is not None:
+                yield begin, end, (NUMBER, float(value), None, None, None)
+        starts.append(begin)
+        dated.append(bool(_DATE_WORD.match(word.lower())))
+        held = False
+        for start, anchor in zip(reversed(starts), reversed(dated)):
+            held = held or anchor
+            parts = _date_of(text[start:end].lower()) if held else None
+            if parts:
+                yield start, end, (DATE, None, parts.get("y"), parts.get("m"), parts.get("d"))
+
+
 def _value_spans(text):
-    """Longest number and date spans of one text, none inside another, in text order."""
+    """Spans with their values, in text order; a span inside a longer one is dropped.
+
+    A span lies in no other exactly if, by start and then by falling end, it ends behind all before it.
+    """
     if text is None:
         return None
-    found = {}
-
-    def note(span, kind, f=None, parts=None):
-        parts = parts or {}
-        found.setdefault(span, []).append((kind, f, parts.get("y"), parts.get("m"), parts.get("d")))
-
-    for hit in _NUMBER_IN_TEXT.finditer(text):
-        value = _number_of(hit.group())
-        if value is not None:
-            note(hit.span(), NUMBER, value)
-    by_regex = set(found)
-    edges = [hit.span() for hit in re.finditer(r"[^\W_]+", text)]
-    for begin, end in edges:
-        word = text[begin:end]
-        if (begin, end) in by_regex:
-            continue
-        for value in (_number_of(word), _WORD_NUMBER.get(word)):
-            if value is not None:
-                note((begin, end), NUMBER, float(value))
-    anchors = [i for i, (b, e) in enumerate(edges) if _DATE_WORD.match(text[b:e].lower())]
-    for anchor in anchors:
-        near = range(max(0, anchor - MAX_DATE_WORDS + 1), anchor + 1)
-        for first, last in ((i, j) for i in near for j in range(anchor, min(i + MAX_DATE_WORDS, len(edges)))):
-            begin, end = edges[first][0], edges[last][1]
-            parts = _date_of(text[begin:end].lower())
-            if parts and DATE not in [v[0] for v in found.get((begin, end), ())]:
-                note((begin, end), DATE, None, parts)
-
-    kept = []
-    for begin, end in sorted(found, key=lambda s: (s[0] - s[1], s[0])):
-        if not any(b <= begin and end <= e for b, e in kept):
-            kept.append((begin, end))
-    return [(b, e, found[b, e]) for b, e in sorted(kept)]
+    values: dict[tuple[int, int], list[tuple]] = {}
+    for begin, end, value in _candidates(text):
+        values.setdefault((begin, end), []).append(value)
+    kept, reached = [], -1
+    for begin, end in sorted(values, key=lambda span: (span[0], -span[1])):
+        if end > reached:
+            kept.append((begin, end, values[begin, end]))
+            reached = end
+    return kept
 
 
 def _spans_batch(texts: pd.Series) -> pd.Series:

@@ -6,6 +6,7 @@ A "word" character is a letter, a number or an underscore, in any script.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 
 import pandas as pd
@@ -159,35 +160,39 @@ def jaccard(left: Column, right: Column, epsilon: float = 0.0) -> Column:
     return score if epsilon else F.when(either > 0, score).otherwise(0.0)
 
 
-_PLAIN = str.maketrans(QUOTES_AND_DASHES)
-# Fixed patterns: what is cut from the end or the outside of an answer text.
-_CITATION = re.compile(r"((?<!^)\[[^\]]*\]|\[\d+\]|[•♦†‡*#+])*$")
-_PARENTHESES = re.compile(r"(?<!^)( \([^)]*\))*$")
-_OUTER_QUOTES = re.compile(r'^"([^"]*)"$')
+#: What may close an answer, read from its end: a bracketed note (the whole answer only if it is a
+#: number), a row of marks, an aside after a space. A tail is any mix of them, with blanks between.
+_NOTE, _MARKS, _ASIDE = r"\][^\]]*\[(?!\z)|\]\d++\[", "[•♦†‡*#+]++", r"\)[^)]*\( "
+_TAIL = rf"(?U)\A(?:\s*+(?>{_NOTE}|{_MARKS}|{_ASIDE}))++\s*+"
+_ENDS = r"(?U)\A\s+|\s+\z"
 
 
-def _fold_answer(text):
-    if text is None:
-        return None
-    decomposed = unicodedata.normalize("NFKD", text)
-    text = "".join(ch for ch in decomposed if unicodedata.category(ch) != "Mn").translate(_PLAIN)
-    before = None
-    while text != before:
-        before = text
-        text = _CITATION.sub("", text.strip())
-        text = _PARENTHESES.sub("", text.strip())
-        text = _OUTER_QUOTES.sub(r"\1", text.strip())
-    text = " ".join(text.removesuffix(".").split()).lower()
-    return re.sub(r"<[^<]+?>", "", text)
+def _without_tail(c: Column) -> Column:
+    """One scan from the right over all closing notes, marks and asides; c has no blanks at its ends."""
+    return F.reverse(F.regexp_replace(F.reverse(c), _TAIL, ""))
 
 
-def _fold_batch(texts: pd.Series) -> pd.Series:
-    return texts.map(_fold_answer)
+def _decomposed(texts: pd.Series) -> pd.Series:
+    """Compatibility decomposition without the marks that it sets free; nulls stay."""
+    return texts.str.normalize("NFKD").str.replace(_ACCENTS, "", regex=True)
+
+
+#: All code points of the category of non-spacing marks.
+_ACCENTS = re.compile("[" + "".join(map(chr, (k for k in range(sys.maxunicode + 1) if unicodedata.category(chr(k)) == "Mn"))) + "]+")
 
 
 def fold_answer(c: Column) -> Column:
-    """Strict answer normaliser: no diacritics, citations, trailing parentheses or outer quotes.
+    """Strict answer normaliser: no diacritics, closing notes, asides or marks, nor quotes around all of it.
 
-    Python, because SQL has no Unicode decomposition; one Arrow batch at a time.
+    Only texts beyond ASCII go through Python, for their decomposition. A quoted text holds no
+    further quote, so its tail is cut once outside and once inside the quotes. One final stop
+    goes, blanks are squeezed, the rest is in lower case without markup.
     """
-    return F.pandas_udf(_fold_batch, "string")(c)
+    foreign = c.rlike(r"[^\x00-\x7F]")
+    plain = F.coalesce(F.pandas_udf(_decomposed, "string")(F.when(foreign, c)), c)
+    plain = F.translate(plain, "".join(QUOTES_AND_DASHES), "".join(QUOTES_AND_DASHES.values()))
+    outside = _without_tail(F.regexp_replace(plain, _ENDS, ""))
+    inside = F.regexp_replace(F.regexp_replace(outside, r'\A"([^"]*+)"\z', "$1"), _ENDS, "")
+    bare = F.regexp_replace(_without_tail(inside), r"\.\z", "")
+    single = F.regexp_replace(F.regexp_replace(bare, r"(?U)\s+", " "), r"\A | \z", "")
+    return F.regexp_replace(F.lower(single), "<[^<]+?>", "")
