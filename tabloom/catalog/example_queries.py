@@ -12,7 +12,8 @@ from tabloom.catalog.lexical_queries import BM25, POSTINGS, index
 from tabloom.catalog.lexical_queries import questions as lexical_questions
 from tabloom.functions import numbers, text
 from tabloom.model import order_cells, order_tables
-from tabloom.operators import generate, lexical, linearize, reader, selection
+from tabloom.operators import generate, lexical, linearize, programs, reader, selection, statements
+from tabloom.operators.layout import materialize
 from tabloom.registry import query, read
 
 TOK = r"regexp_extract_all(lower({t}), '([\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]+)', 1)"
@@ -195,16 +196,60 @@ def j07(spark, folder):
     return linearize.random_crop(budgets(spark, folder), order_cells(spark, folder), seed=7)
 
 
-@query("j08_synthetic_statements")
+@query(
+    "j08_synthetic_statements",
+    f"""{S.WITH_OT} SELECT table_id, 'pos' AS label, 'TRUE' AS truth, NULL AS failure FROM ot_tables UNION ALL SELECT table_id, 'neg', 'FALSE', NULL FROM ot_tables""",
+)
 def j08(spark, folder):
-    made = generate.synthesize_statements(order_cells(spark, folder), seed=11)
-    return made.select("table_id", "expr_id", "truth", "statement")
+    """Two statements per table, the truth of each evaluated anew.
+
+    The SQL knows what the draws must lead to, not the draws: a true and a false statement for
+    every table. Opposite tables are left to j09; a test draws statements together with them.
+    """
+    cells = materialize(order_cells(spark, folder))
+    made = materialize(statements.synthesize_statements(cells, seed=11, attempts=1000, opposite=False, most_wheres=3, width=2))
+    asked = made.where("failure is null").select("condition_id", "table_id", "left", "right", "comparator")
+    here = statements.condition_results(asked, cells).select("condition_id", "truth")
+    return made.drop("truth").join(here, "condition_id", "left").select("table_id", "label", "truth", "failure")
+
+
+_SHUFFLED = f"""
+drawn AS (SELECT table_id, col AS moved, attempt, row, text, row_number() OVER (PARTITION BY table_id, col, attempt ORDER BY row) AS k,
+    row_number() OVER (PARTITION BY table_id, col, attempt ORDER BY sha256('5|' || table_id || '|' || col || '|' || attempt || '|' || row)) AS d
+  FROM ot_body, (SELECT unnest(range(4)) AS attempt)),
+sh AS (SELECT a.table_id, a.moved, a.attempt, a.row, b.text FROM drawn a JOIN drawn b ON a.table_id = b.table_id AND a.moved = b.moved AND a.attempt = b.attempt AND a.k = b.d),
+rows2 AS (SELECT sh.table_id, moved, attempt, sh.row, {", ".join(f"CASE WHEN moved = {k} THEN sh.text ELSE c{k} END AS c{k}" for k in range(7))} FROM sh JOIN ot_rows r ON r.table_id = sh.table_id AND r.row = sh.row),
+ex2 AS (SELECT * EXCLUDE (expr_id), expr_id || '#' || attempt AS expr_id FROM ex, (SELECT unnest(range(4)) AS attempt)),
+""" + D.EXPRESSIONS[D.EXPRESSIONS.index("ex_all AS") :].replace("FROM ex e JOIN ot_rows r USING (table_id)", "FROM ex2 e JOIN rows2 r ON r.table_id = e.table_id AND r.moved = e.sel AND r.attempt = e.attempt").replace(
+    "ex_all", "ex_all2"
+).replace("ex_agg", "ex_agg2").replace("ex_val", "ex_val2")
 
 
-@query("j09_opposite_tables")
+@query(
+    "j09_opposite_tables",
+    f"""{S.WITH_OT}, {D.EXPRESSIONS}, {_SHUFFLED},
+    now AS (SELECT split_part(expr_id, '#', 1) AS expr_id, CAST(split_part(expr_id, '#', 2) AS INTEGER) AS attempt, vals FROM ex_val2 WHERE vals IS NOT NULL)
+    SELECT ex.expr_id, ex.sel AS col, ex_val.vals IS NOT NULL AS defined, min(now.attempt) FILTER (now.vals <> ex_val.vals AND (ex.k % 4 <> 3 OR ex.agg IN ('FIRST', 'LAST'))) AS attempt
+    FROM ex JOIN ex_val USING (expr_id) LEFT JOIN now USING (expr_id) GROUP BY ALL""",
+)
 def j09(spark, folder):
-    expressions = D.expressions(spark, folder).where("agg IN ('FIRST', 'LAST', 'SUM', 'NONE')")
-    return generate.opposite_tables(order_cells(spark, folder), expressions, attempts=4, seed=5)
+    """Every expression set equal to its own value: the first of four shuffles of its column in which that is false.
+
+    Without a clause only FIRST and LAST can change; the SQL says so, since its sums in another order may differ in a last digit.
+    """
+    cells = materialize(order_cells(spark, folder))
+    asked = D.expressions(spark, folder)
+    values = programs.evaluate_expressions(asked, cells).select("expr_id", "values")
+    side = lambda constant: F.struct("sel", "agg", "wheres", constant.alias("constant")).cast(statements.SIDE)
+    conditions = materialize(
+        asked.join(values, "expr_id").select(
+            F.col("expr_id").alias("condition_id"), "table_id", F.col("sel").alias("col"), side(F.lit(None).cast("array<string>")).alias("left"), side(F.col("values")).alias("right"),
+            F.lit("=").alias("comparator"), F.when(F.col("values").isNotNull(), "TRUE").alias("truth"),
+        )
+    )
+    found = statements.opposite_tables(cells, conditions.where("truth is not null"), attempts=4, seed=5).select("condition_id", "attempt")
+    joined = conditions.join(found, "condition_id", "left")
+    return joined.select(F.col("condition_id").alias("expr_id"), "col", F.col("truth").isNotNull().alias("defined"), "attempt")
 
 
 @query(

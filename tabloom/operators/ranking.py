@@ -35,6 +35,20 @@ def global_rank(df: DataFrame, order: list[Column], rank: str = "rank") -> DataF
     )
 
 
+def group_rank(df: DataFrame, keys: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
+    """Number the rows of every group from 0 in order; a group of any size is split.
+
+    Rows are range-partitioned by keys and order together and written with a running number.
+    A group's first number in a partition, and how many of its rows lie before, give its ranks.
+    """
+    sorted_rows = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    parts = materialize(sorted_rows.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    sizes = parts.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return parts.join(offsets, [*keys, "_part"]).withColumn(rank, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first by the given order."""
     return top_k(df, keys, order, 1, "_first").drop("_first")
