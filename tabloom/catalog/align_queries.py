@@ -75,29 +75,32 @@ def c02(spark, folder):
     return align.find_answers(pairs(spark, folder), answers(spark, folder), order_cells(spark, folder)).drop("text")
 
 
+def _places(literal: str) -> str:
+    """SQL for (page_id, ix, at): every place of a literal in the pages."""
+    parts = f"string_split(html, '{literal}')"
+    return f"(SELECT page_id, i - 1 AS ix, list_sum(list_transform({parts}[:i], lambda x: length(x))) + (i - 1) * {len(literal)} AS at FROM (SELECT page_id, html, unnest(range(1, len({parts}))) AS i FROM pages))"
+
+
 @query(
     "c03_contained_annotations",
-    r"""SELECT p.page_id, 0 AS annotation_ix, CAST(0 AS INTEGER) AS table_ix FROM pages p WHERE strpos(html, '<ul>') > 0 AND strpos(html, '</ul>') > strpos(html, '<ul>')
-      AND strpos(html, '<a href') - 1 >= strpos(html, '<ul>') - 1 AND strpos(html, '</a>') + 3 <= strpos(html, '</ul>') + 4""",
+    f"""WITH lists AS (SELECT b.page_id, b.ix, b.at AS lo, e.at + 5 AS hi FROM {_places("<ul>")} b JOIN {_places("</ul>")} e USING (page_id, ix)),
+    links AS (SELECT b.page_id, b.ix, b.at AS lo, e.at + 4 AS hi FROM {_places("<a href")} b JOIN {_places("</a>")} e USING (page_id, ix))
+    SELECT page_id, CAST(links.ix AS INTEGER) AS annotation_ix, CAST(lists.ix AS INTEGER) AS table_ix FROM links JOIN lists USING (page_id) WHERE lists.lo <= links.lo AND links.hi <= lists.hi""",
 )
 def c03(spark, folder):
-    """First link of each page against its first list: the link belongs to the list when it lies inside."""
-    pages = read(spark, folder, "pages")
+    """Every link of a page against every list of it: a link belongs to the lists that hold both its tags."""
+    pages = read(spark, folder, "pages").select("page_id", "html")
 
-    def at(needle):
-        return F.instr("html", needle)
+    def at(tag):
+        return align.occurrences(pages, "page_id", "html", tag)
 
-    spans = pages.where((at("<ul>") > 0) & (at("</ul>") > at("<ul>"))).select(
-        "page_id", F.lit(0).alias("table_ix"), (at("<ul>") - 1).alias("begin"), (at("</ul>") + 4).alias("end")
-    )
-    parts = F.array(
-        F.struct((at("<a href") - 1).alias("begin"), (at("<a href") + 6).alias("end")),
-        F.struct((at("</a>") - 1).alias("begin"), (at("</a>") + 3).alias("end")),
-    )
-    annotations = pages.where(at("<a href") > 0).select("page_id", F.lit(0).alias("annotation_ix"), F.explode(parts).alias("p")).select(
-        "page_id", "annotation_ix", "p.begin", "p.end"
-    )
-    return align.contained_annotations(spans, annotations)
+    def tags(first, last):
+        ends = at(last).select("page_id", "ix", (F.col("at") + len(last)).alias("end"))
+        return at(first).withColumnRenamed("at", "begin").join(ends, ["page_id", "ix"])
+
+    spans = tags("<ul>", "</ul>").withColumnRenamed("ix", "table_ix")
+    links = tags("<a href", "</a>").withColumnRenamed("ix", "annotation_ix")
+    return align.contained_annotations(spans, links)
 
 
 @query("c04_answerable", f"{S.WITH_OT}, {HITS} SELECT question_id, table_id FROM groups GROUP BY ALL HAVING bool_or(all_found)")

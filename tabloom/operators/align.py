@@ -157,16 +157,29 @@ def repair_supervision(questions: DataFrame) -> DataFrame:
     )
 
 
-def contained_annotations(spans: DataFrame, annotations: DataFrame) -> DataFrame:
+def occurrences(texts: DataFrame, id_col: str, text_col: str, literal: str) -> DataFrame:
+    """(id, ix, at): every place of a literal in each text, numbered from 0 in order.
+
+    The pieces between the places are counted, so no offset is searched for twice.
+    """
+    pieces = texts.select(id_col, F.posexplode(F.transform(F.split(text_col, text.quote_regex(F.lit(literal)), -1), lambda p: F.length(p))).alias("ix", "size"), F.size(F.split(text_col, text.quote_regex(F.lit(literal)), -1)).alias("n"))
+    before = F.sum("size").over(Window.partitionBy(id_col).orderBy("ix")) + F.col("ix") * len(literal)
+    return pieces.withColumn("at", before.cast("int")).where(F.col("ix") < F.col("n") - 1).select(id_col, "ix", "at")
+
+
+def contained_annotations(spans: DataFrame, annotations: DataFrame, stretch: int = 4096) -> DataFrame:
     """Annotations that lie in a table span with all of their parts.
 
     spans (page_id, table_ix, begin, end); annotations (page_id, annotation_ix, begin, end),
-    one row per part. Returns (page_id, annotation_ix, table_ix).
+    one row per part. Returns (page_id, annotation_ix, table_ix). Spans are cut into stretches of
+    a page, and an annotation meets only those that run through the stretch where it begins; so
+    a large page is spread and its spans and annotations are not all compared.
     """
     parts = annotations.groupBy("page_id", "annotation_ix").agg(F.min("begin").alias("lo"), F.max("end").alias("hi"))
-    return parts.join(spans, "page_id").where((F.col("begin") <= F.col("lo")) & (F.col("hi") <= F.col("end"))).select(
-        "page_id", "annotation_ix", "table_ix"
-    )
+    cut = lambda c: F.floor(F.col(c) / stretch)
+    held = spans.withColumn("stretch", F.explode(F.sequence(cut("begin"), cut("end"))))
+    met = parts.withColumn("stretch", cut("lo")).join(held, ["page_id", "stretch"])
+    return met.where((F.col("begin") <= F.col("lo")) & (F.col("hi") <= F.col("end"))).select("page_id", "annotation_ix", "table_ix")
 
 
 def redirect(questions: DataFrame, merged: DataFrame) -> DataFrame:
