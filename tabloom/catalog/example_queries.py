@@ -296,19 +296,24 @@ def g02(spark, folder):
 
 @query(
     "j12_interpretations",
-    f"""{S.WITH_OT}, v AS (SELECT table_id, col, row, CAST(text AS DOUBLE) AS v, CAST(row_number() OVER (PARTITION BY table_id, col ORDER BY row) - 1 AS INTEGER) AS i, count(*) OVER (PARTITION BY table_id, col) AS n FROM ot_body WHERE col = 0 AND table_id IN (SELECT table_id FROM ot_tables WHERE n_rows <= 6)),
-    m AS (SELECT table_id, col, mask, list(row ORDER BY row) AS rows, sum(v) AS total, count(*) AS k FROM v, (SELECT unnest(range(1, 64)) AS mask) WHERE mask < (1 << n) AND (mask >> i) & 1 = 1 GROUP BY ALL),
-    a AS (SELECT table_id, sum(v) / 2 AS f FROM v GROUP BY table_id),
-    h AS (SELECT table_id, 'SUM' AS agg, rows FROM m JOIN a USING (table_id) WHERE abs(total - f) < 0.01 UNION ALL SELECT table_id, 'AVERAGE', rows FROM m JOIN a USING (table_id) WHERE abs(total / k - f) < 0.01)
-    SELECT 'q' || table_id AS question_id, agg, array_to_string(rows, ',') AS rows FROM h""",
+    f"""{S.WITH_OT}, v AS (SELECT table_id, col, row, CAST(text AS DOUBLE) AS v, CAST(row_number() OVER (PARTITION BY table_id, col ORDER BY row) - 1 AS INTEGER) AS i, count(*) OVER (PARTITION BY table_id, col) AS n FROM ot_body WHERE col < 4),
+    m AS (SELECT table_id, col, mask, list(row ORDER BY row) AS rows, sum(v) AS total, count(*) AS k FROM v JOIN (SELECT DISTINCT n, unnest(range(1, 1 << n)) AS mask FROM (SELECT DISTINCT n FROM v)) USING (n) WHERE (mask >> i) & 1 = 1 GROUP BY ALL),
+    a AS (SELECT 'q' || table_id AS question_id, table_id, sum(v) / 2 AS f FROM v WHERE col = 0 GROUP BY ALL
+      UNION ALL SELECT 'p' || table_id, table_id, sum(v) + 0.004 FROM v WHERE col = 1 AND row > 0 GROUP BY ALL),
+    h AS (SELECT question_id, 'SUM' AS agg, col, rows FROM m JOIN a USING (table_id) WHERE abs(total - f) < 0.01 UNION ALL SELECT question_id, 'AVERAGE', col, rows FROM m JOIN a USING (table_id) WHERE abs(total / k - f) < 0.01
+      UNION ALL SELECT question_id, 'NONE', 0, [0] FROM a WHERE question_id[1] = 'q')
+    SELECT question_id, agg, col, array_to_string(rows, ',') AS rows FROM h""",
 )
 def j12(spark, folder):
-    small = order_tables(spark, folder).where("n_rows <= 6").select("table_id")
-    cells = order_cells(spark, folder, with_header=False).where("col = 0").join(small, "table_id", "left_semi")
-    half = cells.groupBy("table_id").agg((F.sum(F.col("text").cast("double")) / 2).alias("float_answer"))
-    asked = half.select(F.concat(F.lit("q"), "table_id").alias("question_id"), "table_id", "float_answer")
-    found = generate.interpretations(asked, cells)
-    return found.select("question_id", "agg", F.array_join(F.col("rows").cast("array<string>"), ",").alias("rows"))
+    """Two answers per table: half the quantities, and all prices but the first line's; all rows and numeric columns are searched."""
+    cells = materialize(order_cells(spark, folder, with_header=False))
+    number = F.col("text").cast("double")
+    half = cells.where("col = 0").groupBy("table_id").agg((F.sum(number) / 2).alias("float_answer")).select(F.concat(F.lit("q"), "table_id").alias("question_id"), "table_id", "float_answer")
+    rest = cells.where("col = 1 AND row > 0").groupBy("table_id").agg((F.sum(number) + 0.004).alias("float_answer")).select(F.concat(F.lit("p"), "table_id").alias("question_id"), "table_id", "float_answer")
+    asked = materialize(half.unionByName(rest))
+    given = half.select("question_id", F.lit(0).alias("row"), F.lit(0).alias("col"))
+    found = generate.interpretations(asked, cells, given, most=None)
+    return found.select("question_id", "agg", "col", F.array_join(F.col("rows").cast("array<string>"), ",").alias("rows"))
 
 
 @query("j13_noisy_coordinates")
