@@ -148,7 +148,10 @@ def sequential_groups(tables, edges):
     return {frozenset(m) for m in members.values()}
 
 
-def test_group_similar_matches_sequential_merge(spark):
+@pytest.mark.parametrize("block_rows", [100_000, 0])
+def test_group_similar_matches_sequential_merge(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(dedup, "BLOCK_NODES", block_rows // 1000)
     base = [["city", "people", "area", "mayor"], ["zurich", "400", "88", "mauch"], ["bern", "130", "51", "von graffenried"], ["basel", "170", "24", "cramer"]]
     rows, facts = [], []
     for i in range(24):
