@@ -29,6 +29,8 @@ from tabloom.llm.common import text_or_empty
 REMEMBERED = 400_000
 #: Pre-tokens that are laid out at once; a single longer text is one layout.
 SLICE = 500_000
+#: Ids that are decoded at once, a longer document's all together.
+DECODED = 500_000
 #: Bytes up to which a pre-token's positions are kept as bits of one number.
 SHORT = 128
 
@@ -85,8 +87,12 @@ class Encoder:
     def __init__(self, path: str) -> None:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, filter(None, map(bytes.strip, lines)))}
-        self.words = {rank: word for word, rank in self.ranks.items()}
         self.queue = RankQueue(max(self.ranks.values()) + 1)
+        self.flat = np.frombuffer(b"".join(self.ranks), np.uint8)
+        self.sizes, self.starts = np.zeros((2, max(self.ranks.values()) + 1), np.int64)
+        order = np.fromiter(self.ranks.values(), np.int64, len(self.ranks))
+        self.sizes[order] = lengths = np.fromiter(map(len, self.ranks), np.int64, len(order))
+        self.starts[order] = np.cumsum(lengths) - lengths
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: always the lowest-ranked pair, leftmost first."""
@@ -194,8 +200,14 @@ class Encoder:
             k = after[k]
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.words.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, ends): what all ids stand for, one after the other, and where each id's bytes end."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.repeat((self.starts[ids] - ends + sizes).astype(np.int32), sizes)
+        at += np.arange(total, dtype=np.int32)
+        return self.flat[at], ends
 
 
 def pack(ids: list[int]) -> bytes:
@@ -292,11 +304,17 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks_path)
         for batch in batches:
-            step = 256
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                texts = [encoder.decode(np.frombuffer(x.as_py() or b"", "<u4").tolist()) for x in part.column(2)]
-                yield pa.record_batch([*part.columns, pa.array(texts, pa.binary())], names=[id_col, "n_tokens", "ids", "bytes"])
+            blobs = batch.column(2).to_pylist()
+            bounds = np.concatenate(([0], np.cumsum([len(x or b"") // 4 for x in blobs])))
+            first = 0
+            while first < len(blobs):
+                last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + DECODED, "right")) - 1)
+                ids = np.frombuffer(b"".join(x or b"" for x in blobs[first:last]), "<u4")
+                held, ends = encoder.decode(ids)
+                cuts = np.concatenate(([0], ends))[bounds[first : last + 1] - bounds[first]].astype(np.int32)
+                texts = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(cuts), pa.py_buffer(held)])
+                yield pa.record_batch([*batch.slice(first, last - first).columns, texts], names=[id_col, "n_tokens", "ids", "bytes"])
+                first = last
 
     return encoded.select(id_col, "n_tokens", "ids").mapInArrow(run, f"{id_col} long, n_tokens long, ids binary, bytes binary")
 
