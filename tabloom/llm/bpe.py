@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import base64
 import heapq
-import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import text_or_empty
 
-#: Distinct pre-tokens that a Python worker remembers, in two generations: when the younger one
-#: holds half of them it becomes the older one, and what was not met since is forgotten.
-REMEMBERED = 400_000
+#: Bytes, estimated, of the pre-tokens that a task remembers with their ids; beyond them only
+#: those of the last run stay. ENTRY is the cost of one besides its text and ids.
+MEMORY = 32 << 20
+ENTRY = 220
 #: Pre-tokens that are laid out at once; a single longer text is one layout.
 SLICE = 500_000
 #: Ids that are decoded at once, a longer document's all together.
@@ -200,19 +201,24 @@ class Encoder:
             k = after[k]
         return out
 
+    def encode_all(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes): the ids of all pre-tokens, one after the other, and how many each one has."""
+        found = [self.encode(piece.encode()) for piece in pieces]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), "<u4", int(sizes.sum())), sizes
+
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, ends): what all ids stand for, one after the other, and where each id's bytes end."""
-        sizes = self.sizes[ids]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat((self.starts[ids] - ends + sizes).astype(np.int32), sizes)
-        at += np.arange(total, dtype=np.int32)
-        return self.flat[at], ends
+        return gathered(self.flat, self.starts[ids], self.sizes[ids])
 
 
-def pack(ids: list[int]) -> bytes:
-    """Ids as little-endian unsigned 32-bit integers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, ends): the pieces of `flat` that begin at `starts`, one after the other, and where each ends."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    at = np.repeat((starts - ends + sizes).astype(np.int32), sizes)
+    at += np.arange(total, dtype=np.int32)
+    return flat[at], ends
 
 
 @lru_cache(maxsize=2)
@@ -226,25 +232,40 @@ def pretokens(text: Column, pattern: str) -> Column:
 
 
 class Layout:
-    """Puts ids of distinct pre-tokens together for whole texts."""
-
-    def __init__(self, encode_missing, remembered: int = REMEMBERED, run: int = SLICE) -> None:
-        self.encode_missing, self.remembered, self.run, self.young, self.old = encode_missing, remembered, run, {}, {}
-
-    def _found(self, words: list[str]) -> list[bytes]:
-        found = list(map(self.young.get, words))
-        unmet = [k for k, ids in enumerate(found) if ids is None]
-        missing = []
-        for k in unmet:
-            found[k] = self.old.get(words[k])
-            if found[k] is None:
-                missing.append(k)
-        for k, ids in zip(missing, self.encode_missing([words[k] for k in missing]), strict=True):
-            found[k] = ids
-        if len(self.young) + len(unmet) > self.remembered // 2:
-            self.old, self.young = self.young, {}
-        self.young.update((words[k], found[k]) for k in unmet)
-        return found
+    """Puts ids of distinct pre-tokens together for whole texts.
+
+    `encode` gives (ids, sizes) of a list of pre-tokens. What was met is kept in one array of ids
+    with a slot per pre-token, within `memory` bytes; a task makes its own and drops it at its end.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], run: int = SLICE, memory: int = MEMORY) -> None:
+        self.encode, self.run, self.memory = encode, run, memory
+        self._keep([], np.zeros(0, "<u4"), np.zeros(0, np.int64))
+
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.slots = dict(zip(words, range(len(words)), strict=True))
+        self.ids, self.sizes, self.held = ids, sizes, self._cost(words, ids)
+
+    @staticmethod
+    def _cost(words: list[str], ids: np.ndarray) -> int:
+        return ENTRY * len(words) + sum(map(len, words)) + ids.nbytes
+
+    def _found(self, words: list[str]) -> np.ndarray:
+        """The slot of each of these distinct pre-tokens; unknown ones are encoded first."""
+        slots = np.fromiter(map(self.slots.get, words, repeat(-1)), np.int64, len(words))
+        unmet = np.flatnonzero(slots < 0)
+        if len(unmet):
+            new = [words[k] for k in unmet.tolist()]
+            ids, sizes = self.encode(new)
+            slots[unmet] = np.arange(len(self.sizes), len(self.sizes) + len(new))
+            self.slots.update(zip(new, slots[unmet].tolist(), strict=True))
+            self.ids, self.sizes = np.concatenate((self.ids, ids)), np.concatenate((self.sizes, sizes))
+            self.held += self._cost(new, ids)
+        if self.held > self.memory:
+            sizes = self.sizes[slots]
+            self._keep(words, gathered(self.ids, (np.cumsum(self.sizes) - self.sizes)[slots], sizes)[0], sizes)
+            slots = np.arange(len(words))
+        return slots
 
     def __call__(self, words: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of a run of rows, offsets of the rows in them)."""
@@ -253,20 +274,11 @@ class Layout:
         while first < len(words):
             last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + self.run, "right")) - 1)
             flat = words.values.slice(bounds[first], bounds[last] - bounds[first]).dictionary_encode()
-            distinct = flat.dictionary.to_pylist()
-            found = self._found(distinct)
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.frombuffer(b"".join(found), "<u4") if found else np.zeros(0, "<u4")
-            lengths >>= 2
-            starts = np.cumsum(lengths) - lengths
+            slots = self._found(flat.dictionary.to_pylist())
+            starts = (np.cumsum(self.sizes) - self.sizes)[slots]
             index = flat.indices.to_numpy()
-            each = lengths[index]
-            ends = np.cumsum(each)
-            total = int(ends[-1]) if len(ends) else 0
-            where = np.repeat((starts[index] - ends + each).astype(np.int32), each)
-            where += np.arange(total, dtype=np.int32)
-            rows = np.concatenate(([0], ends))[bounds[first : last + 1] - bounds[first]]
-            yield first, ids[where], rows
+            ids, ends = gathered(self.ids, starts[index], self.sizes[slots][index])
+            yield first, ids, np.concatenate(([0], ends))[bounds[first : last + 1] - bounds[first]]
             first = last
 
 
@@ -280,22 +292,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     source = docs.select(F.col(id_col).cast("long").alias(id_col), pretokens(text_or_empty(text_col), pattern).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks_path)
-        layout = _layout(ranks_path)
-        layout.encode_missing = lambda words: [pack(encoder.encode(w.encode())) for w in words]
+        layout = Layout(_encoder(ranks_path).encode_all)
         for batch in batches:
             for first, ids, rows in layout(batch.column(1)):
-                counts = np.diff(rows)
-                blobs = [ids[a:b].tobytes() for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
-                yield pa.record_batch([batch.column(0).slice(first, len(counts)), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], names=[id_col, "n_tokens", "ids"])
+                yield pa.record_batch([batch.column(0).slice(first, len(rows) - 1), pa.array(np.diff(rows), pa.int64()), _cut(ids.tobytes(), 4 * rows)], names=[id_col, "n_tokens", "ids"])
 
     return source.mapInArrow(run, f"{id_col} long, n_tokens long, ids binary")
 
 
-@lru_cache(maxsize=2)
-def _layout(key: str) -> Layout:
-    """One memory of pre-tokens per Python worker and vocabulary, kept from task to task."""
-    return Layout(None)
+def _cut(held: bytes | np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Binary values that lie one after the other, without a copy."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(held)])
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
@@ -311,17 +318,37 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataF
                 last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + DECODED, "right")) - 1)
                 ids = np.frombuffer(b"".join(x or b"" for x in blobs[first:last]), "<u4")
                 held, ends = encoder.decode(ids)
-                cuts = np.concatenate(([0], ends))[bounds[first : last + 1] - bounds[first]].astype(np.int32)
-                texts = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(cuts), pa.py_buffer(held)])
+                texts = _cut(held, np.concatenate(([0], ends))[bounds[first : last + 1] - bounds[first]])
                 yield pa.record_batch([*batch.slice(first, last - first).columns, texts], names=[id_col, "n_tokens", "ids", "bytes"])
                 first = last
 
     return encoded.select(id_col, "n_tokens", "ids").mapInArrow(run, f"{id_col} long, n_tokens long, ids binary, bytes binary")
 
 
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids, bytes) for every row: `decode` of `encode` in one pass through Python.
+
+    What is decoded are the ids as they are written, read back from their bytes. Nulls, repeated
+    rows, other columns and empty tables as in `encode`.
+    """
+    source = docs.select(F.col(id_col).cast("long").alias(id_col), pretokens(text_or_empty(text_col), pattern).alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(ranks_path)
+        layout = Layout(encoder.encode_all)
+        for batch in batches:
+            for first, ids, rows in layout(batch.column(1)):
+                packed = ids.tobytes()
+                held, ends = encoder.decode(np.frombuffer(packed, "<u4"))
+                columns = [batch.column(0).slice(first, len(rows) - 1), pa.array(np.diff(rows), pa.int64()), _cut(packed, 4 * rows), _cut(held, np.concatenate(([0], ends))[rows])]
+                yield pa.record_batch(columns, names=[id_col, "n_tokens", "ids", "bytes"])
+
+    return source.mapInArrow(run, f"{id_col} long, n_tokens long, ids binary, bytes binary")
+
+
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoding and decoding every text."""
-    decoded = decode(encode(docs, ranks_path, pattern), ranks_path)
+    decoded = round_trip(docs, ranks_path, pattern)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 

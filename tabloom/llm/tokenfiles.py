@@ -32,14 +32,38 @@ BLOCK_BYTES = 1 << 20
 BLOCK_DOCS = 4096
 #: Pre-tokens that are laid out at once: more of them at a time repeat fewer look-ups.
 RUN = 2_000_000
+#: Bytes of pre-tokens that a task remembers.
+REMEMBERED = 64 << 20
 BLOCKS = "part int, block int, dict_sha256 string, n_docs int, first_id long, last_id long, doc_ids binary, counts binary, offsets binary, frames binary"
 
 
 @lru_cache(maxsize=1)
 def _tokenizer(path: str):
+    """The tokenizer and how many bytes each id stands for: byte-level tokens have a character per byte."""
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), Layout(None, run=RUN)
+    tokenizer = Tokenizer.from_file(path)
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    widths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+    widths[list(vocabulary.values())] = list(map(len, vocabulary))
+    return tokenizer, widths
+
+
+def _layout(path: str) -> Layout:
+    """Pre-tokens encoded by the library as one pre-split sequence; each one's ids end where its bytes do."""
+    tokenizer, widths = _tokenizer(path)
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        runs = [tokenizer.encode_batch_fast([words[at : at + 2048]], is_pretokenized=True, add_special_tokens=False)[0].ids for at in range(0, len(words), 2048)]
+        ids = np.concatenate([np.array(x, "<u4") for x in runs])
+        ends = np.cumsum(widths[ids])
+        wanted = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)))
+        last = np.searchsorted(ends, wanted)
+        if len(ends) != last[-1] + 1 or not np.array_equal(ends[last], wanted):
+            raise ValueError(f"{path} is not a byte-level vocabulary")
+        return ids, np.diff(last + 1, prepend=0)
+
+    return Layout(encode, RUN, REMEMBERED)
 
 
 def _prepared(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str) -> DataFrame:
@@ -52,26 +76,20 @@ def _prepared(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: s
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.when(held, F.array().cast("array<string>")).otherwise(pretokens(text, pattern)).alias("words"), F.when(held, text).alias("whole"))
 
 
-def _ids(batch: pa.RecordBatch, path: str) -> Iterator[np.ndarray]:
-    """Ids of each row of a batch, in order."""
-    tokenizer, layout = _tokenizer(path)
-
-    def missing(words: list[str]) -> list[bytes]:
-        found = []
-        for at in range(0, len(words), 2048):
-            some = words[at : at + 2048]
-            encoded = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(encoded.ids, "<u4").tobytes()
-            ends = (4 * np.cumsum(np.bincount(encoded.word_ids, minlength=len(some)))).tolist()
-            found += [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        return found
-
-    layout.encode_missing = missing
+def _ids(batch: pa.RecordBatch, path: str, layout: Layout, end: tuple[int, ...] = ()) -> Iterator[np.ndarray]:
+    """Ids of each row of a batch, in order, each closed by `end`."""
     whole = batch.column(2)
     for first, ids, rows in layout(batch.column(1)):
+        for one in end:
+            ids, rows = np.insert(ids, rows[1:], one), rows + np.arange(len(rows))
+        bounds = rows.tolist()
+        texts = whole.slice(first, len(rows) - 1)
+        special = {k: texts[k].as_py() for k in np.flatnonzero(texts.is_valid()).tolist()}
         for k in range(len(rows) - 1):
-            text = whole[first + k].as_py()
-            yield ids[rows[k] : rows[k + 1]] if text is None else np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            if k in special:
+                yield np.array([*_tokenizer(path)[0].encode(special[k], add_special_tokens=False).ids, *end], "<u4")
+            else:
+                yield ids[bounds[k] : bounds[k + 1]]
 
 
 def train_dictionary(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str) -> bytes:
@@ -81,9 +99,10 @@ def train_dictionary(docs: DataFrame, path: str, pattern: str, id_col: str, text
     sample = _prepared(chosen, path, pattern, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layout = _layout(path)
         for batch in batches:
             parts = []
-            for ids in _ids(batch, path):
+            for ids in _ids(batch, path, layout):
                 at = max(0, len(ids) - SAMPLE_BYTES // 4) // 2
                 parts.append(ids[at : at + SAMPLE_BYTES // 4].tobytes())
             yield pa.record_batch([batch.column(0), pa.array(parts, pa.binary())], names=["id", "ids"])
@@ -113,7 +132,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, pattern: str, end_i
     ordered = _prepared(source.repartitionByRange(id_col).sortWithinPartitions(id_col), tokenizer_path, pattern, id_col, text_col).withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(dictionary)
+        codec, layout = _codec(dictionary), _layout(tokenizer_path)
         compress = zstandard.ZstdCompressor(level=3, dict_data=codec, write_content_size=True, write_checksum=True).compress
         names, kinds = zip(*(x.split() for x in BLOCKS.split(", ")), strict=True)
         made, size, frames, counts, doc_ids, part = 0, 0, [], [], [], 0
@@ -128,10 +147,11 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, pattern: str, end_i
 
         for batch in batches:
             ids_col = batch.column(0).to_pylist()
-            for k, ids in enumerate(_ids(batch, tokenizer_path)):
+            if batch.num_rows:
                 part = batch.column(3)[0].as_py()
-                frames.append(compress(np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()))
-                counts.append(len(ids) + 1)
+            for k, ids in enumerate(_ids(batch, tokenizer_path, layout, (end_id,))):
+                frames.append(compress(ids))
+                counts.append(len(ids))
                 doc_ids.append(ids_col[k])
                 size += len(frames[-1])
                 if size >= BLOCK_BYTES or len(frames) >= BLOCK_DOCS:
