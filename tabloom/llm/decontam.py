@@ -149,24 +149,19 @@ def mark(docs: DataFrame, benchmark: DataFrame, into: str = "hits", text_col: st
     unchanged; a column already named `into` is replaced. An empty table on either side gives no
     hits. Items are sent to the tasks block by block, so their number is not limited.
     """
-    out = docs.drop(into)
     kind = "array<struct<item_id:bigint,distance:int>>"
-    out = out.withColumn(into, F.array().cast(kind))
-    place, last = out.columns.index(text_col), len(out.columns) - 1
     arrow_kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
+    hits = F.array().cast(kind)
     for items in item_blocks(benchmark, item_id_col, item_text_col):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.Array], items=items) -> Iterator[pa.Array]:
             finder = _prepared(items, rate)
-            for batch in batches:
-                hits = []
-                for text, before in zip(batch.column(place), batch.column(last), strict=True):
-                    found = [{"item_id": items[k][0], "distance": d} for k, d in finder.search(normal(text.as_py()))]
-                    hits.append((before.as_py() or []) + found)
-                yield pa.record_batch([*batch.columns[:last], pa.array(hits, arrow_kind)], names=batch.schema.names)
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+            for texts in batches:
+                found = [[{"item_id": items[k][0], "distance": d} for k, d in finder.search(normal(text.as_py()))] for text in texts]
+                yield pa.array(found, arrow_kind)
+
+        hits = F.concat(hits, F.arrow_udf(run, kind, F.ArrowUDFType.SCALAR_ITER)(F.col(text_col).cast("string")))
+    return docs.withColumn(into, hits)
 
 
 def op10_pigeonhole_edits(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,6 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabloom.llm.common import text_or_empty
 
@@ -199,16 +198,15 @@ def score(docs: DataFrame, network: Network, text_col: str = "text", into: str =
 
     Null and empty texts are scored as one chunk of zeros. All other columns, repeated rows and
     null ids pass unchanged; a column already named `into` is replaced. Empty in, empty out.
+    Only the text goes to Python and only the score comes back.
     """
-    docs = docs.drop(into)
-    place = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [(x.as_py() or "").encode() for x in batch.column(place)]
-            yield pa.record_batch([*batch.columns, pa.array(network.probabilities(texts), pa.float64())], names=[*batch.schema.names, into])
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(network.probabilities([x or b"" for x in texts.to_pylist()]), pa.float64())
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))
+    probability = F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER)
+    return docs.withColumn(into, probability(F.col(text_col).cast("binary")))
 
 
 def op3_byte_cnn(spark, sf_dir: str) -> DataFrame:
