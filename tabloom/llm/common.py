@@ -46,6 +46,14 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def connected_components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of `links` (a, b), root being the smallest node reachable.
 

@@ -90,7 +90,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     held = written(base.select("k1", "k2", "t", "entity").distinct().join(seen, "entity").join(copies, ["k1", "k2"]), "pii-held")
     rows = held.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
     here = [k == F.col(n) for k, n in zip(row_keys(id_col, text_or_empty(text_col)), ("_k1", "_k2"), strict=True)]
-    texts = docs.join(rows, here[0] & here[1], "left_semi")
+    texts = docs.select(id_col, text_col).join(rows, here[0] & here[1], "left_semi")
     kind = [Kind("word", _WORD)]
     words = written(spans(scan(texts, kind, id_col, text_col, "pii-texts"), kind).withColumn("word", F.lower("value")).drop("value"), "pii-words")
     revealing = _revealing(docs, held, words.select("k1", "k2", "word").distinct(), text_col)
@@ -120,13 +120,18 @@ def _sanitised(text: Column, found: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with every span of `find` replaced in `text_col`; a text without spans stays as it is, null included."""
+    """`docs` with every span of `find` replaced in `text_col`; a text without spans stays as it is, null included.
+
+    Repeated rows and null ids stay, each with its own text's spans; other columns pass unchanged
+    whatever their names. An empty table gives an empty result.
+    """
     text = text_or_empty(text_col)
     found = find(docs, id_col, text_col).where(F.size("spans") > 0).dropDuplicates(["k1", "k2"]).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans"))
-    keyed = docs.select("*", *[k.alias(n) for k, n in zip(row_keys(id_col, text), ("_row1", "_row2"), strict=True)])
+    keyed = docs.select(F.struct("*").alias("_doc"), *[k.alias(n) for k, n in zip(row_keys(id_col, text), ("_row1", "_row2"), strict=True)])
     both = keyed.join(found, (F.col("_row1") == F.col("_k1")) & (F.col("_row2") == F.col("_k2")), "left")
-    new = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(_sanitised(F.col(text_col), F.col("_spans")))
-    return both.withColumn(text_col, new).select(*docs.columns)
+    before = F.col("_doc")[text_col]
+    new = F.when(F.col("_spans").isNull(), before).otherwise(_sanitised(before, F.col("_spans")))
+    return both.select(*[(new if c == text_col else F.col("_doc")[c]).alias(c) for c in docs.columns])
 
 
 def op9_information_pii(spark, sf_dir: str) -> DataFrame:

@@ -45,3 +45,24 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert kept.columns == docs.columns
     got = sorted(((r.doc_id, r.lang) for r in kept.collect()), key=lambda x: x[1])
     assert got == [(None, "a"), (1, "b"), (1, "c"), (5, "d"), (2, "e"), (3, "f"), (4, "g")]
+
+
+def test_stages_with_clashing_names_long_texts_and_empty_tables(spark, tmp_path):
+    names = ["score", "hits", "_score", "_hits", "_row1", "_row2", "_k1", "_k2", "_spans", "_doc", "k1", "fp", "t", "kind"]
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    texts = [(1, _prose(1)), (1, _prose(1)), (None, _prose(2)), (2, "write to someone@mail.example.com " + _prose(3)), (3, _prose(4, 150_000)), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, len(t or ""), *names) for i, t in texts], schema)
+    folder = f"{tmp_path}/in"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    empty = docs.limit(0)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        for table, kind in ((docs, "docs"), (empty, "empty")):
+            stage(spark, table, folder).write.parquet(f"{tmp_path}/{kind}{k}")
+        docs, empty = (spark.read.parquet(f"{tmp_path}/{kind}{k}") for kind in ("docs", "empty"))
+        assert empty.count() == 0
+        if k < 4:
+            assert docs.columns == empty.columns == ["doc_id", "text", "n_chars", *names]
+            assert {tuple(r[n] for n in names) for r in docs.collect()} == {tuple(names)}
+        assert docs.count() == (7 if k == 0 else 5)
+    assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "2", "3", "4", "None"]
