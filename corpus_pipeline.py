@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import bpe, decontam, pii, quality, simhash
-from tabloom.llm.common import row_keys, shared_folder, text_or_empty
+from tabloom.llm.common import free_name, row_keys, shared_folder, text_or_empty
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject, with all their columns.
+
+    Null and empty texts are scored as one chunk of zeros; repeated rows and null ids are judged
+    each by its text. An empty table stays empty; without labels every document stays.
+    """
     network = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, network, into="_score").where(F.col("_score") >= quality.CUT).drop("_score")
+    score = free_name(docs, "score")
+    return quality.score(docs, network, into=score).where(F.col(score) >= quality.CUT).drop(score)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,27 +30,41 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     component's row. Of rows equal in both, one stays.
     """
     keys = ["_row1", "_row2"]
-    keyed = docs.select("*", *[k.alias(n) for k, n in zip(row_keys("doc_id", text_or_empty("text")), keys, strict=True)])
-    classes = simhash.near_duplicates(keyed.select("_row1", "text"), "_row1").select("_row1", "component_id").distinct()
-    rows = keyed.select("doc_id", *keys).distinct().join(classes, "_row1")
+    hashes = [k.alias(n) for k, n in zip(row_keys("doc_id", text_or_empty("text")), keys, strict=True)]
+    keyed = docs.select(F.struct("*").alias("_doc"), *hashes)
+    plain = docs.select("doc_id", "text", *hashes)
+    classes = simhash.near_duplicates(plain.select("_row1", "text"), "_row1").select("_row1", "component_id").distinct()
+    rows = plain.select("doc_id", *keys).distinct().join(classes, "_row1")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row2", "_row1")).alias("first")
     kept = rows.groupBy("component_id").agg(first).select("first._row1", "first._row2")
-    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select("_doc.*")
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    marked = decontam.mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into="_hits")
-    return marked.where(F.size("_hits") == 0).drop("_hits")
+    """Documents that hold no benchmark item, with all their columns.
+
+    Null and empty texts hold none; repeated rows and null ids stay or go by their text. Without
+    benchmark rows every document stays; an empty table stays empty.
+    """
+    hits = free_name(docs, "hits")
+    marked = decontam.mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into=hits)
+    return marked.where(F.size(hits) == 0).drop(hits)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced; n_chars follows the text."""
+    """All documents, personal data replaced; n_chars follows the text, and is null where it is.
+
+    Repeated rows and null ids stay, other columns pass unchanged; an empty table stays empty.
+    """
     return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def to_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, one row for each given row.
+
+    A null text counts as empty and has no ids; null ids stay null, other columns are left out;
+    an empty table gives an empty result.
+    """
     import public_tokenizers
 
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
