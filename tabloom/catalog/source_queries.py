@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabloom.catalog import derived as D
@@ -144,3 +145,156 @@ def a16(spark, folder):
     sinks.export_predictions(questions, chosen, path)
     got = spark.read.csv(path, sep="\t", header=True, quote="")
     return got.select("question_id", F.array_join(F.from_json("answers", "array<string>"), "|").alias("answers"))
+
+
+# Tables made of the line items of 250 consecutive orders: their number grows with the data, their size does not.
+_LINES = """lines AS (SELECT CAST(floor(l_orderkey / 250.0) AS BIGINT) AS t, l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_returnflag AS f, l_linestatus AS l FROM lineitem),
+    placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY t ORDER BY o, n, p, s, f, l) - 1 AS INTEGER) AS r FROM lines)"""
+
+
+def _line_tables(spark, folder):
+    lines = read(spark, folder, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 250).alias("t"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"),
+        F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("l"),
+    )
+    return lines.withColumn("r", F.row_number().over(Window.partitionBy("t").orderBy("o", "n", "p", "s", "f", "l")) - 1)
+
+
+def _one_file_per_table(lines, path):
+    """Lines (t, r, value) as text, one file for every t."""
+    lines.repartition("t").sortWithinPartitions("t", "r").select(F.col("t").alias("file"), "value").write.partitionBy("file").text(path)
+
+
+@query("a02_csv_per_table", f"""WITH {_LINES} SELECT t, r AS row, CAST(o AS VARCHAR) AS order_id, f || chr(10) || '"' || l || '", x' AS note, CAST(p AS VARCHAR) AS part FROM placed""")
+def a02(spark, folder):
+    """One CSV file for each table; notes hold quotes, commas and line breaks."""
+    path = new_path(spark, "csv")
+    placed = _line_tables(spark, folder).select(
+        "t", "r", F.concat_ws(",", "t", "o", F.concat(F.lit('"'), "f", F.lit('\n""'), "l", F.lit('"", x"')), "p").alias("value")
+    )
+    head = placed.select("t").distinct().select("t", F.lit(-1).alias("r"), F.lit("table,order,note,part").alias("value"))
+    _one_file_per_table(placed.unionByName(head), path)
+    cells = T.read_csv_tables(spark, path, depth=2).where("row >= 0")
+    at = lambda c: F.max(F.when(F.col("col") == c, F.col("text")))
+    rows = cells.groupBy("table_id", "row").agg(at(1).alias("order_id"), at(2).alias("note"), at(3).alias("part"))
+    return rows.withColumn("t", F.regexp_extract("table_id", "file=([0-9]+)/", 1).cast("long")).drop("table_id")
+
+
+@query(
+    "a04_annotated_pages",
+    """SELECT 'train' AS split, CAST(page_id AS VARCHAR) AS example_id, md5(html) AS digest, CAST(strlen(html) AS INTEGER) AS end_byte FROM pages
+    UNION ALL SELECT 'dev', CAST(doc_id AS VARCHAR), md5('<p>' || text || '</p>'), CAST(strlen('<p>' || text || '</p>') AS INTEGER) FROM documents""",
+)
+def a04(spark, folder):
+    """Given pages and documents as two splits of compressed page lines, annotated from end to end."""
+    html = {
+        "train": read(spark, folder, "pages").select(F.col("page_id").alias("id"), "html"),
+        "dev": read(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("html")),
+    }
+    paths = {}
+    for split, pages in html.items():
+        paths[split] = new_path(spark, f"pages-{split}")
+        part = F.struct(F.lit(0).alias("start_byte"), F.octet_length("html").alias("end_byte"))
+        annotation = F.struct(F.array(part).alias("short_answers"))
+        pages.select(F.col("id").cast("string").alias("example_id"), F.lit("what?").alias("question_text"), F.col("html").alias("document_html"), F.array(annotation).alias("annotations")).write.option("compression", "gzip").json(paths[split])
+    got = T.read_annotated_pages(spark, paths)
+    return got.select("split", "example_id", F.md5("document_html").alias("digest"), F.col("annotations")[0]["short_answers"][0]["end_byte"].alias("end_byte"))
+
+
+@query(
+    "a06_programs",
+    """SELECT p_name AS question, CAST(p_partkey AS VARCHAR) AS table_id, (['NONE', 'MAX', 'MIN', 'COUNT', 'SUM', 'AVERAGE'])[p_size % 6 + 1] AS agg, p_size % 4 AS sel,
+      '0=' || p_brand || '|1' || (['=', '>', '<'])[p_size % 3 + 1] || p_size AS conds FROM part""",
+)
+def a06_programs(spark, folder):
+    size = F.col("p_size")
+    conds = F.concat(F.lit('[[0, 0, "'), "p_brand", F.lit('"], [1, '), (size % 3).cast("string"), F.lit(", "), size.cast("string"), F.lit("]]"))
+    sql = F.concat(F.lit('{"sel": '), (size % 4).cast("string"), F.lit(', "agg": '), (size % 6).cast("string"), F.lit(', "conds": '), conds, F.lit("}"))
+    line = F.concat(F.lit('{"phase": 1, "question": "'), "p_name", F.lit('", "table_id": "'), F.col("p_partkey").cast("string"), F.lit('", "sql": '), sql, F.lit("}"))
+    path = new_path(spark, "programs")
+    read(spark, folder, "part").select(line.alias("value")).write.text(path)
+    got = Q.read_programs(spark, path)
+    shown = F.transform("conds", lambda c: F.concat(c["col"].cast("string"), c["op"], c["value"]))
+    return got.select("question", "table_id", "agg", "sel", F.array_join(shown, "|").alias("conds"))
+
+
+@query("a07_answer_bars", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand AS table_id, p_name AS question, p_name || '#' || p_type || '#' || p_size AS texts FROM part")
+def a07_bars(spark, folder):
+    path = new_path(spark, "bars")
+    answers = F.concat_ws("|", "p_name", "p_type", "p_size")
+    read(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("utterance"), F.col("p_brand").alias("context"), answers.alias("targetValue")).write.csv(path, sep="\t", header=True, quote="")
+    return Q.read_answer_bars(spark, path).select("id", "table_id", "question", F.array_join("texts", "#").alias("texts"))
+
+
+@query(
+    "a08_statements",
+    """WITH q AS (SELECT c_custkey AS c, c_name AS caption, o_orderkey AS o, o_orderstatus AS s, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey, o_orderstatus) - 1 AS ix FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT c || '.csv_' || ix || '-0_0' AS question_id, c || '.csv' AS table_id, 'Order ' || o || ' has status "' || s || '".' AS statement, CAST(s = 'F' AS INTEGER) AS class_index, caption FROM q""",
+)
+def a08(spark, folder):
+    """Orders as statements on their customer: files of one JSON object for 1,000 customers each."""
+    orders, customer = read(spark, folder, "orders"), read(spark, folder, "customer")
+    said = F.format_string('Order %d has status "%s".', "o_orderkey", "o_orderstatus")
+    entry = F.struct("o_orderkey", "o_orderstatus", said.alias("statement"), (F.col("o_orderstatus") == "F").cast("int").alias("label"))
+    asked = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_custkey", "c_name").agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    parts = F.concat_ws(", ", F.to_json(F.col("e.statement")), F.to_json(F.col("e.label")), F.concat(F.lit('"'), "c_name", F.lit('"')))
+    member = F.concat(F.lit('"'), F.col("c_custkey").cast("string"), F.lit('.csv": ['), parts, F.lit("]"))
+    path = new_path(spark, "statements")
+    objects = asked.groupBy(F.floor(F.col("c_custkey") / 1000).alias("t")).agg(F.collect_list(member).alias("members"))
+    _one_file_per_table(objects.select("t", F.lit(0).alias("r"), F.concat(F.lit("{"), F.array_join("members", ", "), F.lit("}")).alias("value")), path)
+    return Q.read_statements(spark, path)
+
+
+@query(
+    "a09_linked_tables",
+    f"""WITH {_LINES} SELECT 'T' || t AS table_id, r AS row, CAST(0 AS INTEGER) AS col, CAST(p AS VARCHAR) AS text, '/wiki/Part ' || p AS identifier, p_size > 25 AS unknown FROM placed JOIN part ON p_partkey = p
+    UNION ALL SELECT 'T' || t, r, 1, CAST(o AS VARCHAR), NULL, FALSE FROM placed JOIN part ON p_partkey = p
+    UNION ALL SELECT DISTINCT 'T' || t, -1, unnest([0, 1]), unnest(['Part', 'Order']), NULL, FALSE FROM placed JOIN part ON p_partkey = p""",
+)
+def a09(spark, folder):
+    """Linked tables, one JSON file each, with encoded and repeated links; small parts have a description."""
+    part = read(spark, folder, "part").select(F.col("p_partkey").alias("p"), "p_size")
+    placed = _line_tables(spark, folder).join(part.select("p"), "p", "left_semi")
+    line = F.format_string('[["%d", ["/wiki/Part%%20%d", "/wiki/Part%%20%d"]], ["%d", []]]', "p", "p", "p", "o")
+    tables = placed.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("r", line.alias("line")))).alias("e"))
+    value = F.concat(F.format_string('{"uid": "T%d", "title": "lines", "url": "", "header": [["Part", []], ["Order", []]], "data": [', "t"), F.array_join(F.col("e.line"), ", "), F.lit("]}"))
+    path = new_path(spark, "linked")
+    _one_file_per_table(tables.select("t", F.lit(0).alias("r"), value.alias("value")), path)
+    cells, links = T.read_linked_tables(spark, path)
+    known = part.where("p_size <= 25").select(F.concat(F.lit("/wiki/Part "), "p").alias("identifier"))
+    missing = T.unknown_links(links, known).select("identifier").distinct().withColumn("unknown", F.lit(True))
+    found = cells.join(links, ["table_id", "row", "col"], "left").join(missing, "identifier", "left")
+    return found.select("table_id", "row", "col", "text", "identifier", F.coalesce("unknown", F.lit(False)).alias("unknown"))
+
+
+@query(
+    "a10_xml_tables",
+    f"""WITH {_LINES}, c AS (SELECT t, r AS row, CAST(0 AS INTEGER) AS col, CASE WHEN r = min(r) OVER (PARTITION BY t, o) THEN CAST(o AS VARCHAR) ELSE '' END AS text, FALSE AS relevant FROM placed
+      UNION ALL SELECT t, r, 1, CAST(n AS VARCHAR), f = 'R' FROM placed UNION ALL SELECT t, r, 2, CAST(p AS VARCHAR), FALSE FROM placed
+      UNION ALL SELECT DISTINCT t, -1, unnest([0, 1, 2]), unnest(['Order', 'Line & part', '']), FALSE FROM placed)
+    SELECT CAST(t AS VARCHAR) AS table_id, row, col, text, relevant, 'Table ' || t || ' has returns.' AS statement FROM c""",
+)
+def a10(spark, folder):
+    """XML tables with a wide header cell and a tall cell for each order; returned lines are evidence."""
+    whole = Window.partitionBy("t", "o")
+    spans = _line_tables(spark, folder).withColumn("first", F.min("r").over(whole)).withColumn("last", F.max("r").over(whole))
+
+    def cell(text, top, bottom, left, right, evidence=""):
+        edges = "row-start=\"%d\" row-end=\"%d\" col-start=\"%d\" col-end=\"%d\""
+        return F.concat(F.format_string(f'<cell text="%s" {edges}>', text, top, bottom, F.lit(left), F.lit(right)), F.lit(evidence) if isinstance(evidence, str) else evidence, F.lit("</cell>"))
+
+    row, one = F.col("r") + 1, F.lit(0)
+    mark = F.when(F.col("f") == "R", '<evidence statement_id="0" version="0" type="relevant"/>').otherwise("")
+    tall = F.when(F.col("r") == F.col("first"), cell(F.col("o").cast("string"), row, F.col("last") + 1, 0, 0)).otherwise("")
+    line = F.concat(F.lit("<row>"), tall, cell(F.col("n").cast("string"), row, row, 1, 1, mark), cell(F.col("p").cast("string"), row, row, 2, 2), F.lit("</row>"))
+    head = F.concat(F.lit("<row>"), cell(F.lit("Order"), one, one, 0, 0), cell(F.lit("Line &amp; part"), one, one, 1, 2), F.lit("</row>"))
+    tables = spans.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("r", line.alias("line")))).alias("e"))
+    said = F.format_string('<statements><statement id="0" text="Table %d has returns." type="entailed"/></statements>', "t")
+    value = F.concat(F.format_string('<document id="d"><table id="%d">', "t"), head, F.array_join(F.col("e.line"), ""), said, F.lit("</table></document>"))
+    path = new_path(spark, "xml")
+    _one_file_per_table(tables.select("t", F.lit(0).alias("r"), value.alias("value")), path)
+    read_back = T.read_xml_tables(spark, path)
+    evidence = T.xml_evidence(read_back).select("table_id", (F.col("row") - 1).alias("row"), "col", F.lit(True).alias("relevant"))
+    statements = T.xml_statements(read_back).select("table_id", F.col("text").alias("statement"))
+    found = T.xml_cells(read_back).join(evidence, ["table_id", "row", "col"], "left").join(statements, "table_id")
+    return found.select(F.substring_index("table_id", "-", -1).alias("table_id"), "row", "col", "text", F.coalesce("relevant", F.lit(False)).alias("relevant"), "statement")

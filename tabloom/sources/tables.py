@@ -14,12 +14,12 @@ from tabloom.functions import text
 from tabloom.operators.layout import spread
 
 
-def read_csv_tables(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """One table per file, the first line is the header; cells named by the file.
+def read_csv_tables(spark: SparkSession, path: str, sep: str = ",", depth: int = 1) -> DataFrame:
+    """One table per file, the first line is the header; cells named by the last `depth` parts of the file's path.
 
     Files are small and many, so each is read whole; quoted line breaks stay in their cell.
     """
-    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("table_id"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.substring_index("_metadata.file_path", "/", -depth).alias("table_id"), "value")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -30,6 +30,11 @@ def test_csv_and_separated_tables(spark, tmp_path):
     cells = {(r.row, r.col): r.text for r in tables.read_csv_tables(spark, str(tmp_path / "t.csv")).collect()}
     assert cells == {(-1, 0): "a", (-1, 1): "b", (0, 0): "x\ny", (0, 1): "2"}
     assert tables.read_csv_tables(spark, str(tmp_path / "s.txt"), sep="#").where("row = 0").count() == 2
+    for folder in ("1-csv", "2-csv"):
+        (tmp_path / "dirs" / folder).mkdir(parents=True)
+        (tmp_path / "dirs" / folder / "7.csv").write_text(f"a\n{folder}\n")
+    named = tables.read_csv_tables(spark, str(tmp_path / "dirs" / "*"), depth=2).where("row = 0")
+    assert {(r.table_id, r.text) for r in named.collect()} == {("1-csv/7.csv", "1-csv"), ("2-csv/7.csv", "2-csv")}
 
 
 def test_statements(spark, tmp_path):
