@@ -52,8 +52,26 @@ _PAGE_TEXT = "CASE WHEN col = 6 AND row >= 0 THEN replace(text, '-', ' ') ELSE t
     SELECT table_id AS page_id, CAST(0 AS INTEGER) AS table_ix, CAST(32 AS INTEGER) AS begin_ix, CAST(32 + 7 + 9 + 7 * 9 + length('l_quantityl_extendedpricel_discountl_taxl_returnflagl_linestatusl_shipdate') + l + 8 AS INTEGER) AS end_ix FROM p""",
 )
 def b01(spark, folder):
-    cells = extract.page_cells(order_pages(spark, folder))
-    return cells.select("page_id", "table_ix", F.col("begin").alias("begin_ix"), F.col("end").alias("end_ix")).distinct()
+    spans = extract.element_spans(order_pages(spark, folder))
+    return spans.select("page_id", F.col("ix").alias("table_ix"), F.col("begin").alias("begin_ix"), F.col("end").alias("end_ix"))
+
+
+_TAG = "'(?i)<p|</p>'"
+
+
+@query(
+    "b01_given_spans",
+    f"""WITH pieces AS (SELECT page_id, unnest(string_split_regex(html, {_TAG})) AS gap, unnest(list_append(regexp_extract_all(html, {_TAG}), '')) AS tag, generate_subscripts(list_append(regexp_extract_all(html, {_TAG}), ''), 1) AS n FROM pages),
+    tags AS (SELECT page_id, n, tag, CASE WHEN tag[2] = '/' THEN -1 ELSE 1 END AS step, sum(strlen(gap) + strlen(tag)) OVER (PARTITION BY page_id ORDER BY n) AS stop FROM pieces WHERE tag IS NOT NULL),
+    pairs AS (SELECT o.page_id, o.stop - 2 AS begin_ix, c.stop, sum(c.step) OVER (PARTITION BY o.page_id, o.n ORDER BY c.n) AS depth
+      FROM tags o JOIN tags c ON o.page_id = c.page_id AND o.step = 1 AND o.tag <> '' AND c.tag <> '' AND c.n >= o.n),
+    spans AS (SELECT page_id, begin_ix, min(stop) AS end_ix FROM pairs WHERE depth = 0 GROUP BY ALL)
+    SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY begin_ix) - 1 AS INTEGER) AS ix, CAST(begin_ix AS INTEGER) AS begin_ix, CAST(end_ix AS INTEGER) AS end_ix FROM spans""",
+)
+def b01_given(spark, folder):
+    """All paragraphs of the given pages, which often lack their end: what is closed last was opened last."""
+    spans = extract.element_spans(read(spark, folder, "pages"), "p")
+    return spans.select("page_id", "ix", F.col("begin").alias("begin_ix"), F.col("end").alias("end_ix"))
 
 
 @query(

@@ -148,6 +148,19 @@ def contains_tokens(haystack: Column, needle: Column) -> Column:
     return F.regexp_like(haystack, pattern)
 
 
+WORD_RUN = r"(?U)\w+"
+
+
+def word_runs(c: Column) -> Column:
+    """All runs of word characters in order."""
+    return F.regexp_extract_all(c, F.lit(WORD_RUN), F.lit(0))
+
+
+def between_runs(c: Column) -> Column:
+    """What stands before, between and after the runs: one piece more than there are runs."""
+    return F.split(c, WORD_RUN, -1)
+
+
 def count_token_matches(haystack: Column, needle: Column) -> Column:
     pattern = F.concat(F.lit(r"(?U)(?:\b|\s)(?:"), quote_regex(needle), F.lit(r")(?:\s|\b)"))
     return F.regexp_count(haystack, pattern)

@@ -188,6 +188,60 @@ def redirect(questions: DataFrame, merged: DataFrame) -> DataFrame:
     return questions.join(moves, "table_id", "left").withColumn("table_id", F.coalesce("new_id", "table_id")).drop("new_id")
 
 
+def _grams(runs: Column) -> Column:
+    """Distinct single runs and pairs of neighbours."""
+    pairs = F.transform(F.slice(runs, 2, F.size(runs)), lambda w, i: F.concat_ws("\x00", F.get(runs, i), w))
+    return F.array_distinct(F.concat(runs, pairs))
+
+
+def _blank(c: Column) -> Column:
+    return c.rlike(r"(?U)\A\s\z")
+
+
+def _stands_at(i: Column) -> Column:
+    """Whether needle runs w with pieces p stand in text runs tw with pieces tp from run i on."""
+    n, before, after = F.size("w"), F.get(F.col("tp"), i), F.get(F.col("tp"), i + F.size("w"))
+    head, tail = F.get(F.col("p"), F.lit(0)), F.get(F.col("p"), n)
+    spare, rest = F.length(before) - F.length(head), F.length(after) - F.length(tail)
+    opens = (head == "") | (F.endswith(before, head) & F.when(spare == 0, i > 0).otherwise(_blank(F.substr(before, spare, F.lit(1)))))
+    closes = (tail == "") | (F.startswith(after, tail) & F.when(rest == 0, i + n < F.size("tw")).otherwise(_blank(F.substr(after, F.length(tail) + 1, F.lit(1)))))
+    return (F.slice("tw", i + 1, n) == F.col("w")) & (F.slice("tp", i + 2, n - 1) == F.slice("p", F.lit(2), n - 1)) & opens & closes
+
+
+def _sign_stands_in(needle: Column, piece: Column, k: Column) -> Column:
+    """Whether a needle without word characters stands in the k-th piece between runs, bounded by runs or blanks."""
+    size, room = F.length(needle), F.length(piece) - F.length(needle)
+
+    def at(start: Column) -> Column:
+        opens = F.when(start == 0, k > 0).otherwise(_blank(F.substr(piece, start, F.lit(1))))
+        closes = F.when(start == room, k < F.size("tw")).otherwise(_blank(F.substr(piece, start + size + 1, F.lit(1))))
+        return (F.substr(piece, start + 1, size) == needle) & opens & closes
+
+    return F.contains(piece, needle) & F.exists(F.sequence(F.lit(0), F.greatest(room, F.lit(0))), at)
+
+
+def mentions(texts: DataFrame, text_col: str, needles: DataFrame, needle_col: str, on: list[str]) -> DataFrame:
+    """Rows of needles joined to the distinct rows of texts with equal `on` that hold the needle on token boundaries.
+
+    Same pairs as an `on` join with `text.contains_tokens`, but met by hash: a needle is looked up
+    by its first two runs of word characters (or its only one) among the neighbouring runs of the
+    texts, and only pairs that agree there are compared, run by run, without a pattern per pair.
+    Needles of signs alone meet the pieces between the runs. Null needles and texts meet nothing,
+    nor do empty needles. No other column may stand on both sides.
+    """
+    held = texts.where(F.col(text_col).isNotNull()).distinct()
+    sides = sorted(held.columns)
+    keyed = held.select("*", text.word_runs(F.col(text_col)).alias("tw"), text.between_runs(F.col(text_col)).alias("tp"), F.struct(F.xxhash64(*sides), F.xxhash64(F.lit("row"), *sides)).alias("tk"))
+    asked = needles.where(F.col(needle_col) != "").select("*", text.word_runs(F.col(needle_col)).alias("w"), text.between_runs(F.col(needle_col)).alias("p"))
+    worded = asked.where(F.size("w") > 0).withColumn("gram", F.concat_ws("\x00", F.slice("w", 1, 2)))
+    near = worded.join(keyed.select(*on, "tk", F.explode(_grams(F.col("tw"))).alias("gram")), [*on, "gram"])
+    places = F.sequence(F.lit(0), F.greatest(F.size("tw") - F.size("w"), F.lit(0)))
+    found = near.join(keyed, [*on, "tk"]).where(F.exists(places, _stands_at))
+    signs = asked.where(F.size("w") == 0).join(keyed, on).where(F.exists(F.transform("tp", lambda g, k: _sign_stands_in(F.col(needle_col), g, k)), lambda x: x))
+    columns = [*needles.columns, *[c for c in texts.columns if c not in on]]
+    return found.select(*columns).unionByName(signs.select(*columns))
+
+
 def linked_answers(pairs: DataFrame, answers: DataFrame, cells: DataFrame, links: DataFrame, descriptions: DataFrame) -> DataFrame:
     """Cells whose text, or else a linked description, holds the answer on token boundaries.
 
@@ -195,14 +249,9 @@ def linked_answers(pairs: DataFrame, answers: DataFrame, cells: DataFrame, links
     A question that is answered by cell text is not searched in descriptions.
     """
     asked = pairs.select("question_id", "table_id").join(answers.select("question_id", "text"), "question_id")
-    own = asked.join(body(cells).withColumnRenamed("text", "cell"), "table_id").where(
-        text.contains_tokens(F.col("cell"), F.col("text"))
-    ).select("question_id", "table_id", "row", "col", F.lit("cell").alias("source"))
+    place = ["question_id", "table_id", "row", "col"]
+    searched = body(cells).select("table_id", "row", "col", F.col("text").alias("cell")).join(asked.select("table_id"), "table_id", "left_semi")
+    own = mentions(searched, "cell", asked, "text", ["table_id"]).select(*place, F.lit("cell").alias("source"))
     rest = asked.join(own.select("question_id", "table_id").distinct(), ["question_id", "table_id"], "left_anti")
-    linked = (
-        rest.join(links, "table_id")
-        .join(descriptions, "identifier")
-        .where(text.contains_tokens(F.col("description"), F.col("text")))
-        .select("question_id", "table_id", "row", "col", F.lit("description").alias("source"))
-    )
-    return own.unionByName(linked).distinct()
+    linked = mentions(descriptions.select("identifier", "description"), "description", rest.join(links.select("table_id", "row", "col", "identifier"), "table_id"), "text", ["identifier"])
+    return own.unionByName(linked.select(*place, F.lit("description").alias("source"))).distinct()

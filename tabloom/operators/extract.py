@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions import hashing, text
@@ -28,6 +28,33 @@ def table_spans_of(html: bytes) -> list[tuple[int, int]]:
     return sorted(spans)
 
 
+def element_spans(pages: DataFrame, tag: str = "table") -> DataFrame:
+    """(page_id, ix, begin, end): bytes of every element of a tag, nested and empty ones too, by place.
+
+    pages (page_id, html), page_id being a key; a null page has none. Tags in either case are
+    events whose running sum is the depth: a close at the least sum so far has nothing to close
+    and is skipped. Of the others, opens and closes of one level alternate, so an element ends
+    at the next event of its level; an element without one is skipped.
+    """
+    bytes_as_chars = F.decode(F.col("html").cast("binary"), "ISO-8859-1")
+    pattern = rf"(?i)<{tag}|</{tag}>"
+    tags = F.regexp_extract_all("_raw", F.lit(pattern), F.lit(0))
+    gaps = F.transform(F.split("_raw", pattern, -1), lambda g: F.length(g))
+    pairs = F.slice(F.arrays_zip(gaps.alias("gap"), tags.alias("tag")), F.lit(1), F.size(tags))
+    events = pages.where(bytes_as_chars.rlike(pattern)).select("page_id", bytes_as_chars.alias("_raw")).select("page_id", F.posexplode(pairs).alias("n", "e"))
+    opens = ~F.startswith("e.tag", F.lit("</"))
+    so_far = Window.partitionBy("page_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    placed = events.select("page_id", "n", opens.alias("opens"), F.length("e.tag").alias("size"), F.sum(F.col("e.gap") + F.length("e.tag")).over(so_far).alias("end"), F.sum(F.when(opens, 1).otherwise(-1)).over(so_far).alias("total"))
+    floored = placed.withColumn("floor", F.least(F.lit(0), F.min("total").over(so_far)))
+    before = F.lag("floor", 1, 0).over(Window.partitionBy("page_id").orderBy("n"))
+    level = F.col("total") - F.col("floor") + F.when(F.col("opens"), 0).otherwise(1)
+    kept = floored.withColumn("skipped", F.col("floor") < before).where("NOT skipped").withColumn("level", level)
+    close = F.lead("end").over(Window.partitionBy("page_id", "level").orderBy("n"))
+    found = kept.withColumn("close", close).where("opens AND close IS NOT NULL").select("page_id", (F.col("end") - F.col("size")).cast("int").alias("begin"), F.col("close").cast("int").alias("end"))
+    ix = F.row_number().over(Window.partitionBy("page_id").orderBy("begin")) - 1
+    return found.select("page_id", ix.alias("ix"), "begin", "end")
+
+
 class _FirstTable(HTMLParser):
     """Grid of the first table: rows of (is_header_cell, text, columns, rows spanned)."""
 
