@@ -265,21 +265,28 @@ def j10(spark, folder):
     return D.expressions(spark, folder).select("expr_id", generate.verbalize_expression(F.col("agg"), F.get(names, F.col("sel")), named).alias("words"))
 
 
-@query(
-    "c18_contrastive_candidates",
-    f"""{S.WITH_OT}, {QUESTIONS}, b AS (SELECT table_id, row, col, lower(text) AS cell FROM ot_body),
-    m AS (SELECT q.question_id, q.table_id, q.text AS question, row, col, cell FROM (SELECT question_id, table_id, lower(text) AS text FROM qs) q JOIN b USING (table_id) WHERE regexp_matches(text, '\\b' || replace(cell, '.', '\\.') || '\\b')),
+_BOUND = "'\\b' || replace({t}, '.', '\\.') || '\\b'"
+CONTRASTS = f"""{S.WITH_OT}, {QUESTIONS}, b AS (SELECT table_id, row, col, lower(text) AS cell FROM ot_body),
+    m AS (SELECT q.question_id, q.table_id, q.text AS question, row, col, cell FROM (SELECT question_id, table_id, lower(text) AS text FROM qs) q JOIN b USING (table_id) WHERE regexp_matches(text, {_BOUND.format(t='cell')})),
     r AS (SELECT question_id, row, count(DISTINCT cell) AS n FROM m GROUP BY ALL),
-    p AS (SELECT question_id, table_id, question, cell, min(col) AS col, max(n) > 1 AS has_support FROM m JOIN r USING (question_id, row) GROUP BY ALL HAVING count(DISTINCT col) = 1)
-    SELECT DISTINCT question_id, p.col, p.cell AS mention, v.cell AS replacement, has_support FROM p JOIN b v ON v.table_id = p.table_id AND v.col = p.col
-    WHERE NOT regexp_matches(question, '\\b' || replace(v.cell, '.', '\\.') || '\\b') AND NOT contains(v.cell, p.cell) AND NOT contains(p.cell, v.cell)""",
-)
+    p AS (SELECT question_id, table_id, question, cell, min(col) AS col, max(n) > 1 AS has_support FROM m JOIN r USING (question_id, row) GROUP BY ALL HAVING count(DISTINCT col) = 1),
+    contrasts AS (SELECT DISTINCT question_id, question, p.col, p.cell AS mention, v.cell AS replacement, has_support FROM p JOIN b v ON v.table_id = p.table_id AND v.col = p.col
+      WHERE NOT regexp_matches(question, {_BOUND.format(t='v.cell')}) AND NOT contains(v.cell, p.cell) AND NOT contains(p.cell, v.cell))"""
+
+
+@query("c18_contrastive_candidates", f"{CONTRASTS} SELECT question_id, col, mention, replacement, has_support FROM contrasts")
 def c18(spark, folder):
     found = generate.contrastive_candidates(table_questions(spark, folder), order_cells(spark, folder))
     return found.select("question_id", "col", "mention", "replacement", "has_support")
 
 
-@query("j11_contrastive_statements")
+@query(
+    "j11_contrastive_statements",
+    f"""{CONTRASTS}, one AS (SELECT *, regexp_replace(question, {_BOUND.format(t='mention')}, replacement, 'g') AS negative FROM contrasts
+      QUALIFY row_number() OVER (PARTITION BY question_id, mention ORDER BY sha256('3|' || question_id || '|' || mention || '|' || replacement), replacement) = 1)
+    SELECT question_id, max(has_support) AS has_support, question AS positive, negative FROM one
+    WHERE len(string_split(question, ' ')) - len(string_split(mention, ' ')) >= 4 AND (has_support OR {S.uniform("'3|' || question_id || '|' || mention")} < 0.5) GROUP BY question_id, question, negative""",
+)
 def j11(spark, folder):
     return generate.contrastive_statements(table_questions(spark, folder), order_cells(spark, folder), seed=3)
 
@@ -316,9 +323,15 @@ def j12(spark, folder):
     return found.select("question_id", "agg", "col", F.array_join(F.col("rows").cast("array<string>"), ",").alias("rows"))
 
 
-@query("j13_noisy_coordinates")
+@query(
+    "j13_noisy_coordinates",
+    f"""{S.WITH_OT}, {D.SELECTIONS}, gold AS (SELECT question_id, table_id, count(*) AS wanted, list(row) AS rows, list(col) AS cols FROM sel_c GROUP BY ALL),
+    pool AS (SELECT g.question_id, g.table_id, b.row, b.col, row_number() OVER (PARTITION BY question_id ORDER BY sha256('9|' || question_id || '|' || b.row || '|' || b.col), b.row, b.col) - 1 AS k, count(*) OVER (PARTITION BY question_id) AS n
+      FROM ot_body b JOIN gold g USING (table_id) ANTI JOIN sel_c c ON c.question_id = g.question_id AND c.row = b.row AND c.col = b.col WHERE list_contains(rows, b.row) OR list_contains(cols, b.col)),
+    wanted AS (SELECT question_id, CAST(unnest(range(wanted)) AS INTEGER) AS ix FROM gold)
+    SELECT question_id, table_id, ix, row, col FROM wanted JOIN pool USING (question_id) WHERE k = ix % n""",
+)
 def j13(spark, folder):
-    """Sampled by hash; the tests check counts, the excluded gold cells and the repeats."""
     _, coords = D.selections(spark, folder)
     return generate.noisy_coordinates(coords, order_cells(spark, folder), "row_or_column", seed=9)
 

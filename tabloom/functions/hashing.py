@@ -60,3 +60,8 @@ def draw(seed: str | int, *parts: Column) -> Column:
     """A cheap seeded uniform number in [0, 1) for sampling, from xxhash64."""
     h = F.xxhash64(F.lit(str(seed)), *parts)
     return F.pmod(h, F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
+
+
+def seeded(seed: str | int, *parts: Column) -> Column:
+    """The seed and the parts as one text, to be hashed where a draw must be repeatable outside Spark."""
+    return F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import hashing, text
 from tabloom.model import HEADER_ROW, body
+from tabloom.operators.layout import materialize
+from tabloom.operators.ranking import group_rank
 
 _TABLE_TAG = re.compile(rb"(?P<open><table)|</table>", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -391,22 +393,20 @@ def table_fingerprints(cells: DataFrame, tables: DataFrame) -> DataFrame:
     return tables.join(prints, "table_id").withColumn("content_id", F.concat_ws("_", "document_title", "fingerprint"))
 
 
-def random_pairs(records: DataFrame, n_bins: int, n_shards: int, seed: int = 0) -> DataFrame:
-    """Pair every record with the table of another one of its hash bin and split.
+def random_pairs(records: DataFrame, n_bins: int | None = None, n_shards: int = 20, seed: int = 0) -> DataFrame:
+    """Pair every record with the table of another one of its split and, if bins are wanted, its hash bin.
 
-    records (key, table_id). Bins never mix train and test. Records are paired in a
-    ring by hash order; a neighbour with the same table gives no pair (null). n_bins
-    should grow with the data, so that bins stay small.
+    records (key, table_id). Records are paired in a ring by seeded SHA-256 of their key, so train
+    and test never mix; a neighbour with the same table gives no pair (null). Places in a ring
+    come from range partitions, so it may be of any size.
     """
-    from pyspark.sql import Window
-
-    h = F.xxhash64(F.lit(seed), "key")
-    binned = records.withColumns(
-        {"_split": split_of(F.col("table_id"), n_shards), "_bin": F.pmod(h, F.lit(n_bins)), "_order": h}
-    )
-    ring = Window.partitionBy("_split", "_bin").orderBy("_order", "key")
-    all_of = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    other = F.coalesce(F.lead("table_id").over(ring), F.first("table_id").over(all_of))
-    return binned.withColumn("other", F.when(other != F.col("table_id"), other)).select(
-        "key", "table_id", F.col("_split").alias("split"), F.col("other").alias("random_table_id")
-    )
+    digest = F.sha2(F.concat_ws("|", F.lit(seed), F.col("key").cast("string")), 256)
+    bin_of = F.lit(0) if n_bins is None else F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n_bins
+    placed = records.select("key", "table_id", split_of(F.col("table_id"), n_shards).alias("split"), bin_of.alias("_bin"), digest.alias("_order"))
+    ring = ["split", "_bin"]
+    ranked = materialize(group_rank(placed, ring, [F.col("_order"), F.col("key")], "_place"))
+    sizes = ranked.groupBy(*ring).agg((F.max("_place") + 1).alias("_size"))
+    following = ranked.select(*ring, F.col("_place").alias("_next"), F.col("table_id").alias("_other"))
+    asked = ranked.join(sizes, ring).withColumn("_next", (F.col("_place") + 1) % F.col("_size"))
+    paired = asked.join(following, [*ring, "_next"])
+    return paired.select("key", "table_id", "split", F.when(F.col("_other") != F.col("table_id"), F.col("_other")).alias("random_table_id"))
