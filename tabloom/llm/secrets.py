@@ -1,9 +1,11 @@
-"""Secrets: strong patterns, and weak parts of one credential that stand close together.
+"""Secrets: strong patterns, and weak parts of one credential that stand in one scope.
 
 Assignments, access keys and long hex runs are reported wherever they are. An identifier, a
-secret-like string or an endpoint alone proves nothing. Within a scope (text between blank
-lines), identifiers are interval-joined to secrets that lie within REACH characters of them, and
-endpoints to the secrets so linked; only linked weak parts are reported.
+secret-like string or an endpoint alone proves nothing. A scope is the text between blank lines.
+Parts are joined to the scope interval that holds them: what it tells of each side is where the
+side's first span ends and its last one starts, which says whether a part has a complement that
+does not overlap it, however far away. Identifiers and endpoints are complements of secrets; an
+identifier and an endpoint without a secret are not a credential.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import Kind, joined, scan, spans, written
+from tabloom.llm.common import Kind, joined, scan, spans
 
 #: The patterns of the strong kinds.
 _NAMES = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -32,54 +34,46 @@ KINDS = [*STRONG, *WEAK, _BREAK]
 BASE = [k.name for k in STRONG]
 PARTS = [k.name for k in WEAK]
 ORDER = [*BASE, *PARTS]
-#: Characters between two parts of one credential at most.
-REACH = 200
+#: What takes each side of a credential; strong spans complement weak ones, too.
+IDENTIFIERS, SECRETS, ENDPOINTS = ("weak_id", "access"), ("weak_secret", "assign", "hex"), ("weak_endpoint",)
 
 
-def _near(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Interval join: pairs of one scope at most REACH apart, found in buckets of width REACH.
+def _complemented() -> Column:
+    """Whether a part's scope holds a complement that lies wholly before or after it."""
+    scope = Window.partitionBy("k1", "k2", "scope")
 
-    A side's spans are dealt to every bucket that they touch, the left one widened by REACH. A
-    bucket holds few spans, as spans of one kind do not overlap. A pair met in several buckets
-    counts in the first of them only.
-    """
-    bucket = lambda at: F.floor(at / F.lit(REACH))
-    row = ["k1", "k2", "scope"]
-    a = left.select(*row, F.struct("start", "end", "kind").alias("a"), F.explode(F.sequence(bucket(F.col("start") - REACH), bucket(F.col("end") + REACH))).alias("bucket"), bucket(F.col("start") - REACH).alias("a_first"))
-    b = right.select(*row, F.struct("start", "end", "kind").alias("b"), F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("end")))).alias("bucket"), bucket(F.col("start")).alias("b_first"))
-    met = a.join(b, [*row, "bucket"]).where(F.col("bucket") == F.greatest("a_first", "b_first"))
-    apart = F.greatest(F.col("a.start") - F.col("b.end"), F.col("b.start") - F.col("a.end"))
-    return met.where((apart <= REACH) & (F.col("a") != F.col("b"))).select(*row, "a", "b")
-
-
-def _links(parts: DataFrame) -> DataFrame:
-    """(k1, k2, start, end, kind) of the weak parts that have their complement close by."""
-    of = lambda *kinds: parts.where(F.col("kind").isin(*kinds))
-    disjoint = (F.col("a.end") <= F.col("b.start")) | (F.col("b.end") <= F.col("a.start"))
-    pairs = written(_near(of("weak_id", "access"), of("weak_secret", "assign", "hex")).where(disjoint), "secret-pairs")
-    side = lambda df, name: df.select("k1", "k2", "scope", f"{name}.*").distinct()
-    ids, secrets = side(pairs, "a"), side(pairs, "b")
-    endpoints = side(_near(of("weak_endpoint"), secrets).where(disjoint), "a")
-    return ids.unionByName(secrets).unionByName(endpoints).where(F.col("kind").isin(PARTS)).select("k1", "k2", "start", "end", "kind")
+    def apart_from(side: tuple[str, ...]) -> Column:
+        of_side = F.col("kind").isin(*side)
+        before = F.min(F.when(of_side, F.col("end"))).over(scope) <= F.col("start")
+        after = F.max(F.when(of_side, F.col("start"))).over(scope) >= F.col("end")
+        return F.coalesce(before | after, F.lit(False))
+
+    secret = F.col("kind").isin(*SECRETS)
+    return F.when(secret, apart_from(IDENTIFIERS) | apart_from(ENDPOINTS)).otherwise(apart_from(SECRETS))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans) for every row; spans is array<struct<start, end, kind>>, unordered.
 
     Null texts count as empty and have no spans. Repeated rows all get the same spans; null ids
-    are kept. A weak part that overlaps a strong span is not reported again. Other columns are
-    ignored. An empty table gives an empty result.
+    are kept. A weak part that overlaps a strong span is not reported again, nor is a secret-like
+    piece of an address a secret. Other columns are ignored. An empty table gives an empty result.
     """
     scanned = scan(docs.select(id_col, text_col), KINDS, id_col, text_col, "secrets")
     row = Window.partitionBy("k1", "k2").orderBy("start", "end", "kind")
+
+    def overlapped(by: Column) -> Column:
+        before = F.max(F.when(by, F.col("end"))).over(row.rowsBetween(Window.unboundedPreceding, -1))
+        after = F.min(F.when(by, F.col("start"))).over(row.rowsBetween(1, Window.unboundedFollowing))
+        return F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False))
+
     strong = F.col("kind").isin(BASE)
-    before = F.max(F.when(strong, F.col("end"))).over(row.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(strong, F.col("start"))).over(row.rowsBetween(1, Window.unboundedFollowing))
     placed = spans(scanned, KINDS).select("k1", "k2", "start", "end", "kind")
-    placed = placed.withColumn("scope", F.sum((F.col("kind") == "break").cast("int")).over(row)).withColumn("before", before).withColumn("after", after)
-    free = strong | ((F.coalesce("before", F.lit(-1)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end")))
-    parts = written(placed.where((F.col("kind") != "break") & free).drop("before", "after"), "secret-parts")
-    every = parts.where(strong).select("k1", "k2", "start", "end", "kind").unionByName(_links(parts))
+    placed = placed.withColumn("scope", F.sum((F.col("kind") == "break").cast("int")).over(row))
+    placed = placed.withColumn("in_strong", overlapped(strong)).withColumn("in_address", overlapped(F.col("kind") == "weak_endpoint"))
+    free = strong | (~F.col("in_strong") & ~((F.col("kind") == "weak_secret") & F.col("in_address")))
+    parts = placed.where((F.col("kind") != "break") & free).withColumn("linked", _complemented())
+    every = parts.where(strong | F.col("linked"))
     per_row = every.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end", "kind")).alias("spans"))
     empty = F.array().cast(per_row.schema["spans"].dataType)
     return scanned.select(id_col, "k1", "k2").join(per_row, ["k1", "k2"], "left").select(id_col, F.coalesce("spans", empty).alias("spans"))

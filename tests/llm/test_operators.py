@@ -62,17 +62,57 @@ def test_url_verdicts(spark):
 
 def test_linked_secrets(spark):
     weak, key = "client_id: shop-77", "Zx9" * 8
-    rows = [(1, f"{weak} then {key} at https://api.host.io/v1"), (2, f"{weak} alone"), (3, f"{key} alone https://api.host.io"), (4, f"{weak}\n\n{key}"), (5, weak + " " * 300 + key), (6, None), (7, ""), (None, "password=hunter22 AKIA" + "Q" * 16), (8, "é" * 5 + " Token: 'abcdef' " + "0a" * 12)]
-    got = {r.doc_id: {(s["kind"], s["start"], s["end"]) for s in r.spans} for r in secrets.find(docs(spark, rows + rows[:1])).collect()}
+    rows = [(1, f"{weak} then {key} at https://api.host.io/v1"), (2, f"{weak} alone"), (3, f"{key} beside https://api.host.io"), (4, f"{weak}\n\n{key}"), (5, weak + " " * 3000 + key), (6, None), (7, ""), (None, "password=hunter22 AKIA" + "Q" * 16), (8, "é" * 5 + " Token: 'abcdef' " + "0a" * 12)]
+    rows += [(9, f"{weak} at https://api.host.io"), (10, "see https://a.io/some-long-path/2024 and https://b.io/other-long-path/2025")]
+    found = secrets.find(docs(spark, rows + rows[:1])).collect()
+    got = {r.doc_id: {(s["kind"], s["start"], s["end"]) for s in r.spans} for r in found}
     text = rows[0][1]
     at = lambda part: (text.index(part), text.index(part) + len(part))
     assert got[1] == {("weak_id", *at(weak)), ("weak_secret", *at(key)), ("weak_endpoint", *at("https://api.host.io/v1"))}
-    assert not any(got[k] for k in (2, 3, 4, 5, 6, 7))
+    assert sum(r.doc_id == 1 for r in found) == 2 and len(found) == len(rows) + 1
+    assert got[3] == {("weak_secret", 0, 24), ("weak_endpoint", 32, 51)}
+    assert got[5] == {("weak_id", 0, 18), ("weak_secret", 3018, 3042)}
+    assert not any(got[k] for k in (2, 4, 6, 7, 9, 10))
     assert got[None] == {("assign", 0, 17), ("access", 18, 38)}
     assert got[8] == {("assign", 6, 20), ("hex", 22, 46)}
     assert secrets.find(docs(spark, rows).limit(0)).count() == 0
 
 
+def _secrets_by_pairs(text):
+    """All spans of a text: plain scans, then every pair of parts of a scope."""
+    name = "(?i:password|passwd|secret|token|api_?key)"
+    base = [("assign", m) for m in re.finditer(name + """["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 6]
+    base += [("access", m) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    base += [("hex", m) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    base = [(*m.span(), kind) for kind, m in base]
+    weak = [(*m.span(), k.name) for k in secrets.WEAK for m in re.finditer(k.pattern, text) if k.name != "weak_secret" or (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]))]
+    meet = lambda a, b: a[0] < b[1] and b[0] < a[1]
+    weak = [w for w in weak if not any(meet(w, b) for b in base) and not (w[2] == "weak_secret" and any(meet(w, e) for e in weak if e[2] == "weak_endpoint"))]
+    cuts = [m.end() for m in re.finditer(r"\n[ \t\r]*\n\s*", text)]
+    scope = lambda s: sum(c <= s[0] for c in cuts)
+    side = lambda s: "id" if s[2] in ("weak_id", "access") else "end" if s[2] == "weak_endpoint" else "secret"
+    pairs = {("id", "secret"), ("secret", "id"), ("secret", "end"), ("end", "secret")}
+    kept = [w for w in weak if any((side(w), side(o)) in pairs and scope(w) == scope(o) and not meet(w, o) for o in base + weak)]
+    return base, kept
+
+
+def test_linked_secrets_equal_every_pair_and_the_query_its_digests(spark, tmp_path):
+    random.seed(11)
+    atoms = ["client_id=shop-77", "user_name: bob.b", "AKIA" + "Q7" * 9, "AKIA" + "Q7" * 3, "Zx9" * 8, "0a" * 13, "https://api.host.io/v1?x=abc123abc123abc1", "password = hunter22", "api_key:'abc'", "\n\n", "\n \n", "é plain words", "\n", "Token=" + "z" * 7, "x" * 900]
+    texts = ["".join(a + random.choice([" ", "", " ; "]) for a in random.choices(atoms, k=random.randrange(12))) for _ in range(250)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(300, None), (301, ""), (None, texts[7]), (3, texts[3]), (302, ("client_id=shop-77 " + "w " * 40_000 + "Zx9" * 8))]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in secrets.op2_linked_secrets(spark, str(tmp_path)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").collect()), key=str)
+    want = []
+    line = lambda s, order: ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(s, key=lambda x: (x[0], order.index(x[2]), x[1])))
+    for doc_id, text in rows:
+        base, kept = _secrets_by_pairs(text or "")
+        counts = [sum(s[2] == k for s in base) for k in secrets.BASE]
+        want.append((doc_id, *counts, hashlib.sha256(line(base, secrets.BASE).encode()).hexdigest(), line(base + kept, secrets.ORDER)))
+    assert got == sorted(want, key=str)
+    assert any("weak_endpoint" in w[5] for w in want)
+
+
 def test_pii_spans_and_revealing_terms(spark):
     secret = "mallory@corp.example.com"
     rows = [(k, f"note {k} says zanzibar {secret} today") for k in range(6)] + [(10 + k, f"plain {'note' if k % 2 else 'says'} text today number {k}") for k in range(60)]
@@ -170,15 +210,17 @@ def test_token_files_round_trip(spark, tmp_path):
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     vectors = rng.normal(0, 0.3, (400, 12)).round(1)
-    rows = [(k, [float(x) for x in v], "l") for k, v in enumerate(vectors)] + [(0, [float(x) for x in vectors[0]], "l"), (500, None, ""), (501, [1.0, None], ""), (502, [float("nan")] * 12, ""), (503, [float("inf")] * 12, ""), (None, [1.0] * 12, "")]
+    rows = [(k, [float(x) for x in v], "l") for k, v in enumerate(vectors)]
+    rows += [(0, [float(x) for x in vectors[0]], "l"), (50, [9.0] * 12, ""), (51, [8.0] * 12, ""), (51, [-8.0] * 12, ""), (401, [3.0, -2.0], ""), (450, [1.0], ""), (402, [], "")]
+    held = [(i, np.floor(256 * np.array(v + [0.0] * (12 - len(v)))).astype(int)) for i, v, _ in rows]
+    rows += [(500, None, ""), (501, [1.0, None], ""), (502, [float("nan")] * 12, ""), (503, [float("inf")] * 12, ""), (None, [1.0] * 12, "")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    whole = np.floor(256 * vectors).astype(int)
-    want = set()
-    for q in range(0, 400, 50):
-        scores = whole @ whole[q]
-        order = sorted((k for k in range(400) if k != q), key=lambda k: (-scores[k], k))[:5]
-        want |= {(q, n + 1, k, int(scores[k])) for n, k in enumerate(order)}
-    assert set(map(tuple, topk.top_k(table, "vec_id % 50 = 0").collect())) == want
+    want = []
+    for at, (q, v) in enumerate(held):
+        if q % 50 == 0:
+            others = sorted((-int(w @ v), i) for n, (i, w) in enumerate(held) if n != at)
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(others[:5])]
+    assert sorted(map(tuple, topk.top_k(table, "vec_id % 50 = 0").collect())) == sorted(want)
     assert topk.top_k(table.limit(0), "true").count() == 0
     assert topk.top_k(table.where("vec_id in (1, 2)"), "true").count() == 2
 
