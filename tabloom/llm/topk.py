@@ -23,8 +23,8 @@ from tabloom.llm.common import written
 K = 5
 SCALE = 256
 LEVELS = 64
-#: Vectors of an index block, queries of a query block, index blocks of one task.
-BLOCK_ROWS, QUERY_ROWS, TASK_BLOCKS = 8192, 512, 2
+#: Vectors of an index block, queries of a query block, and index blocks and queries of one task.
+BLOCK_ROWS, QUERY_ROWS, TASK_BLOCKS, TASK_QUERIES = 8192, 512, 2, 16_384
 #: Rounds, as shares of the largest impact of a query in the block. After the last one whatever
 #: has not been proven out is rescored: that is exact, and cheaper than its small impacts.
 ROUNDS = (0.1, 0.05)
@@ -33,10 +33,10 @@ POSSIBLE = 0.2
 
 
 class Block:
-    """An index block: ids, vectors, and per dimension the order of its postings and segment bounds."""
+    """An index block: row numbers, vectors, and per dimension the order of its postings and segment bounds."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, order: np.ndarray | None = None) -> None:
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, rows: np.ndarray, vectors: np.ndarray, order: np.ndarray | None = None) -> None:
+        self.rows, self.vectors = rows, vectors
         self.order = np.argsort(-vectors, axis=0, kind="stable").T.astype(np.uint16) if order is None else order
         low, high = vectors.min(axis=0), vectors.max(axis=0)
         self.low, self.step = low, np.maximum(1, -(-(high - low + 1) // LEVELS))
@@ -59,7 +59,7 @@ class Block:
 
     def search(self, query: np.ndarray, k: int, floor: int | None, skip: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, exact scores) of all vectors that can be among the k best given the k-th score so far."""
-        n = len(self.ids)
+        n = len(self.rows)
         weight = np.abs(query)
         up = query >= 0
         base = int(np.where(up, query * self.low, query * self.high).sum())
@@ -88,7 +88,7 @@ class Block:
             done = np.maximum(done, upto)
             if floor is None:
                 best = np.argpartition(gained, n - min(n, 4 * k))[n - min(n, 4 * k) :]
-                best = best[self.ids[best] != skip]
+                best = best[self.rows[best] != skip]
                 if len(best) >= k:
                     floor = int(np.sort(self.exact(best, query))[-k])
             rest = weight * np.maximum(first * self.step - 1, 0)
@@ -101,16 +101,16 @@ class Block:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v): quantised vectors without nulls or non-finite components, one per id (the smallest)."""
+    """(vec_id, v, row): quantised vectors without nulls or non-finite components, each row with a number."""
     items = F.col(vector_col)
     finite = F.forall(items, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     whole = F.transform(items, lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")).cast("long"))
     kept = vectors.where(F.col(id_col).isNotNull() & items.isNotNull() & finite)
-    return kept.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return kept.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"), F.monotonically_increasing_id().alias("row"))
 
 
 def _packed(vectors: DataFrame, rows: int) -> DataFrame:
-    """(n, dims, ids, matrix, order) blocks; shorter vectors are filled with zeros."""
+    """(n, dims, ids, rows, matrix, order) blocks; shorter vectors are filled with zeros."""
 
     def run(batches):
         for batch in batches:
@@ -122,51 +122,54 @@ def _packed(vectors: DataFrame, rows: int) -> DataFrame:
                 for k, x in enumerate(lists):
                     matrix[k, : len(x)] = x
                 order = np.argsort(-matrix, axis=0, kind="stable").T.astype(np.uint16)
-                yield pa.record_batch([pa.array([len(lists)], pa.int32()), pa.array([dims], pa.int32()), pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary()), pa.array([order.tobytes()], pa.binary())], names=["n", "dims", "ids", "matrix", "order"])
+                pieces = [part.column(0).to_numpy().tobytes(), part.column(2).to_numpy().tobytes(), matrix.tobytes(), order.tobytes()]
+                yield pa.record_batch([pa.array([len(lists)], pa.int32()), pa.array([dims], pa.int32()), *[pa.array([x], pa.binary()) for x in pieces]], names=["n", "dims", "ids", "rows", "matrix", "order"])
 
-    return vectors.mapInArrow(run, "n int, dims int, ids binary, matrix binary, order binary")
+    return vectors.mapInArrow(run, "n int, dims int, ids binary, rows binary, matrix binary, order binary")
 
 
 def top_k(vectors: DataFrame, is_query: str, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best other vectors of every query, ties to the smaller id.
-
-    Queries are the vectors for which the SQL condition `is_query` on vec_id holds. Unusable
-    vectors and null ids take no part; of rows with one id the smallest vector counts, so
-    repeated rows count once. Other columns are ignored. Fewer than k others give fewer rows; an
-    empty table gives none. Work is dealt as (query blocks, index blocks) in a grid of hashes; a task
-    holds about one query block and TASK_BLOCKS index blocks, whatever the number of vectors.
+    """(query_id, rank, vec_id, score): the k best other rows of every query row, ties to the smaller id.
+
+    Queries are the rows for which the SQL condition `is_query` on vec_id holds. Unusable vectors
+    and null ids take no part. Rows with one id are rows of their own: each is asked if its id is,
+    with ranks of its own, and each is a candidate of all rows but itself. Other columns are
+    ignored. Fewer than k others give fewer rows; an empty table gives none. Work is dealt as
+    (queries, index blocks): a task holds about TASK_QUERIES queries and TASK_BLOCKS index blocks,
+    whatever the number of vectors, and the index is copied once per TASK_QUERIES queries.
     """
     all_vectors = written(usable(vectors, id_col, vector_col), "topk-vectors")
     index = written(_packed(all_vectors, BLOCK_ROWS).withColumn("block", F.monotonically_increasing_id()), "topk-index")
     queries = written(_packed(all_vectors.where(is_query), QUERY_ROWS).withColumn("qb", F.monotonically_increasing_id()), "topk-queries")
-    groups, asking = max(1, -(-index.count() // TASK_BLOCKS)), max(1, queries.count())
+    groups, asking = max(1, -(-index.count() // TASK_BLOCKS)), max(1, -(-(queries.agg(F.sum("n")).first()[0] or 0) // TASK_QUERIES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-    left = queries.select(dealt("qb", asking).alias("q"), every(groups).alias("g"), "n", "dims", "ids", "matrix")
-    right = index.select(every(asking).alias("q"), dealt("block", groups).alias("g"), "n", "dims", "ids", "matrix", "order")
+    left = queries.select(dealt("qb", asking).alias("q"), every(groups).alias("g"), "n", "dims", "ids", "rows", "matrix")
+    right = index.select(every(asking).alias("q"), dealt("block", groups).alias("g"), "n", "dims", "ids", "rows", "matrix", "order")
+
+    def numbers(blob: bytes) -> np.ndarray:
+        return np.frombuffer(blob, np.int64)
 
     def pair(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple[int, int, int]] = []
+        found: list[tuple[int, int, int, int]] = []
         if len(asked) and len(held):
-            blocks = []
-            for r in held.itertuples():
-                blocks.append(Block(np.frombuffer(r.ids, np.int64), np.frombuffer(r.matrix, np.int64).reshape(r.n, r.dims), np.frombuffer(r.order, np.uint16).reshape(r.dims, r.n)))
+            blocks = [(numbers(r.ids), Block(numbers(r.rows), numbers(r.matrix).reshape(r.n, r.dims), np.frombuffer(r.order, np.uint16).reshape(r.dims, r.n))) for r in held.itertuples()]
             for r in asked.itertuples():
-                for query_id, query in zip(np.frombuffer(r.ids, np.int64), np.frombuffer(r.matrix, np.int64).reshape(r.n, r.dims), strict=True):
+                for query_id, query_row, query in zip(numbers(r.ids).tolist(), numbers(r.rows).tolist(), numbers(r.matrix).reshape(r.n, r.dims), strict=True):
                     ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                    for block in blocks:
+                    for block_ids, block in blocks:
                         dims = block.vectors.shape[1]
                         fitted = query[:dims] if len(query) >= dims else np.concatenate((query, np.zeros(dims - len(query), np.int64)))
-                        places, found = block.search(fitted, k, int(scores[k - 1]) if len(scores) >= k else None, int(query_id))
-                        own = block.ids[places] != query_id
-                        ids, scores = np.concatenate((ids, block.ids[places][own])), np.concatenate((scores, found[own]))
+                        places, exact = block.search(fitted, k, int(scores[k - 1]) if len(scores) >= k else None, query_row)
+                        other = block.rows[places] != query_row
+                        ids, scores = np.concatenate((ids, block_ids[places][other])), np.concatenate((scores, exact[other]))
                         best = np.lexsort((ids, -scores))[:k]
                         ids, scores = ids[best], scores[best]
-                    rows += [(int(query_id), int(i), int(s)) for i, s in zip(ids, scores, strict=True)]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+                    found += [(query_row, query_id, int(i), int(s)) for i, s in zip(ids, scores, strict=True)]
+        return pd.DataFrame(found, columns=["query_row", "query_id", "vec_id", "score"]).astype("int64")
 
-    found = left.groupBy("q", "g").cogroup(right.groupBy("q", "g")).applyInPandas(pair, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = left.groupBy("q", "g").cogroup(right.groupBy("q", "g")).applyInPandas(pair, "query_row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -177,11 +180,11 @@ def op6_impact_topk(spark, sf_dir: str) -> DataFrame:
 
 OP6_SQL = f"""
 WITH vectors AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM vectors q JOIN vectors c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0)))::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 50 = 0 AND q.r <> c.r)
 SELECT query_id, rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored) WHERE rank <= {K}
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored) WHERE rank <= {K}
 """
