@@ -15,6 +15,10 @@ from tabloom.operators.ranking import top_k
 SCORE_DIGITS = 9
 MAX_BROADCAST_BYTES = 64 << 20
 QUERY_BLOCK, CORPUS_BLOCK = 4096, 32768
+# Scores that a task holds at once.
+MAX_SCORES = 1 << 21
+# Queries whose running results are merged at once.
+RUNNING = 256
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -48,7 +52,8 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 
 def _best(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
     """Candidates of one block as flat arrays (query row, id, score): all ties of the k-th score included."""
-    scores = np.round(queries @ vectors.T, SCORE_DIGITS)
+    scores = queries @ vectors.T
+    np.round(scores, SCORE_DIGITS, out=scores)
     if scores.shape[1] > k:
         border = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
         rows, cols = np.nonzero(scores >= border[:, None])
@@ -66,6 +71,21 @@ def _keep(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
     return rows[kept], ids[kept], scores[kept]
 
 
+def _strips(n_queries: int, n_vectors: int) -> list[slice]:
+    """Cuts of the query rows whose scores against n_vectors stay within MAX_SCORES."""
+    step = max(1, MAX_SCORES // max(1, n_vectors))
+    return [slice(start, start + step) for start in range(0, n_queries, step)]
+
+
+def _search(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
+    """First k of each query row, a strip of queries at a time: (query row, id, score)."""
+    parts = []
+    for strip in _strips(len(queries), len(vectors)):
+        rows, found, scores = _keep(*_best(queries[strip], ids, vectors, k), k)
+        parts.append((rows + strip.start, found, scores))
+    return tuple(np.concatenate(column) for column in zip(*parts))
+
+
 def _id_array(series: pd.Series) -> np.ndarray:
     return np.array(series.tolist())
 
@@ -74,17 +94,19 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 100, max_broadcast:
     """(query_id, table_id, score, rank): the k largest inner products of each query; ties by table id.
 
     queries (query_id, embedding), corpus (table_id, embedding). The size of the
-    query side is measured first: up to max_broadcast bytes it is sent to all
-    tasks, which keep a running top k over their part of the corpus. Beyond that
-    both sides are cut into blocks and each pair of blocks is one task, so that no
-    task holds more than two blocks. Either way at most k rows per query leave a task.
+    query side is measured first: if it and k results a query take up to
+    max_broadcast bytes, it is sent to all tasks, which keep a running top k over
+    their part of the corpus. Beyond that both sides are cut into blocks and each
+    pair of blocks is one group, so that no task holds more than two blocks. Either
+    way scores are made for MAX_SCORES pairs at a time, and at most k rows per query
+    leave a task or group.
     """
     query_type, table_type = queries.schema["query_id"].dataType, corpus.schema["table_id"].dataType
     schema = f"query_id {query_type.simpleString()}, table_id {table_type.simpleString()}, score double"
     n, dim = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
     if not n:
         partial = queries.sparkSession.createDataFrame([], schema)
-    elif n * dim * 8 <= max_broadcast:
+    elif n * (dim + 3 * k) * 8 <= max_broadcast:
         partial = _by_broadcast(queries, corpus, k, schema)
     else:
         partial = _by_blocks(queries, corpus, k, schema, n)
@@ -97,17 +119,18 @@ def _by_broadcast(queries: DataFrame, corpus: DataFrame, k: int, schema: str) ->
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, matrix = shared.value
-        best = None
+        kept = {}
         for batch in batches:
             if not len(batch):
                 continue
-            found = _best(matrix, _id_array(batch["table_id"]), _matrix(batch["embedding"]), k)
-            if best is not None:
-                found = tuple(np.concatenate(pair) for pair in zip(best, found))
-            best = _keep(*found, k)
-        if best is not None:
-            rows, ids, scores = best
-            yield pd.DataFrame({"query_id": [query_ids[r] for r in rows], "table_id": ids, "score": scores})
+            ids, vectors = _id_array(batch["table_id"]), _matrix(batch["embedding"])
+            for start in range(0, len(matrix), RUNNING):
+                found = _search(matrix[start : start + RUNNING], ids, vectors, k)
+                if start in kept:
+                    found = _keep(*(np.concatenate(pair) for pair in zip(kept[start], found)), k)
+                kept[start] = found
+        for start, (rows, ids, scores) in kept.items():
+            yield pd.DataFrame({"query_id": [query_ids[start + r] for r in rows], "table_id": ids, "score": scores})
 
     return corpus.select("table_id", "embedding").mapInPandas(scan, schema)
 
@@ -132,8 +155,9 @@ def _by_blocks(queries: DataFrame, corpus: DataFrame, k: int, schema: str, n_que
     def cell(some_queries: pd.DataFrame, some_tables: pd.DataFrame) -> pd.DataFrame:
         if not len(some_queries) or not len(some_tables):
             return pd.DataFrame({"query_id": [], "table_id": [], "score": []})
-        found = _best(_matrix(some_queries["embedding"]), _id_array(some_tables["table_id"]), _matrix(some_tables["embedding"]), k)
-        rows, ids, scores = _keep(*found, k)
+        rows, ids, scores = _search(
+            _matrix(some_queries["embedding"]), _id_array(some_tables["table_id"]), _matrix(some_tables["embedding"]), k
+        )
         return pd.DataFrame({"query_id": some_queries["query_id"].to_numpy()[rows], "table_id": ids, "score": scores})
 
     return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(cell, schema)

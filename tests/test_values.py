@@ -64,6 +64,38 @@ def test_nearest_both_paths_and_metrics(spark):
     assert found.hit_at_1 == 0.5 and found.hit_at_5 == 1.0
 
 
+def test_nearest_holds_few_scores_at_once():
+    """20,000 queries against a block of 10,000 vectors, as all scores at once 1.6 GB; ties and results of many strips."""
+    import tracemalloc
+
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    asked, held = draw.integers(-2, 3, (20000, 2)).astype(float), draw.integers(-2, 3, (10000, 2)).astype(float)
+    ids = draw.permutation(10000)
+    tracemalloc.start()
+    rows, found, scores = dense._search(asked, ids, held, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+    assert len(rows) == 60000
+    for q in range(0, 20000, 1999):
+        all_scores = held @ asked[q]
+        best = np.lexsort((ids, -all_scores))[:3]
+        assert found[rows == q].tolist() == ids[best].tolist() and scores[rows == q].tolist() == all_scores[best].tolist()
+
+
+def test_nearest_sends_queries_only_with_room_for_their_results(spark, monkeypatch):
+    """Vectors of two numbers with 1,000 results each: the results count, not just the vectors."""
+    rows = spark.range(3000).selectExpr("id query_id", "id table_id", "array(double(id % 7), double(id % 11)) embedding")
+    ways = []
+    monkeypatch.setattr(dense, "_by_broadcast", lambda *a: ways.append("broadcast") or spark.createDataFrame([], a[3]))
+    monkeypatch.setattr(dense, "_by_blocks", lambda *a: ways.append("blocks") or spark.createDataFrame([], a[3]))
+    dense.nearest(rows, rows, 1000, max_broadcast=1 << 20)
+    dense.nearest(rows, rows, 2, max_broadcast=1 << 20)
+    assert ways == ["blocks", "broadcast"]
+
+
 def test_text_functions(spark):
     row = spark.sql(
         "select 'N/A' a, ' Foo_bar,  BAZ! ' b, 'The cat, a dog' c, '“Été” [3] (x)' d, 'a1 b-c' e"
