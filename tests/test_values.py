@@ -96,6 +96,23 @@ def test_nearest_sends_queries_only_with_room_for_their_results(spark, monkeypat
     assert ways == ["blocks", "broadcast"]
 
 
+def test_order_cells_are_moved_once(spark, tmp_path):
+    """Header and body cells of orders, with a null key and a repeated row; one shuffle serves numbering and grouping."""
+    from tabloom import model
+
+    line = "timestamp'1995-01-02' l_shipdate, 1L l_suppkey, 1.5D l_extendedprice, 0.0D l_discount, 0.0D l_tax, 'A' l_returnflag, 'O' l_linestatus"
+    keys = "values (7L, 1, 3.0D), (7L, 1, 3.0D), (7L, 2, 4.0D), (9L, 1, 5.0D), (null, 1, 6.0D)"
+    spark.sql(f"select k l_orderkey, n l_linenumber, 2L l_partkey, q l_quantity, {line} from {keys} t(k, n, q)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    cells = model.order_cells(spark, str(tmp_path))
+    assert cells.dtypes == [("table_id", "string"), ("row", "int"), ("col", "int"), ("text", "string")]
+    got = sorted(((r.table_id or "", r.row, r.text) for r in cells.where("col = 0").collect()))
+    head = [(t, -1, "l_quantity") for t in ("", "7", "9")]
+    assert got == sorted([*head, ("", 0, "6.00"), ("7", 0, "3.00"), ("7", 1, "3.00"), ("7", 2, "4.00"), ("9", 0, "5.00")])
+    assert cells.where("row < 0").count() == 3 * 7
+    counted = cells.groupBy("table_id").agg(F.collect_list("text"))
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_text_functions(spark):
     row = spark.sql(
         "select 'N/A' a, ' Foo_bar,  BAZ! ' b, 'The cat, a dog' c, '“Été” [3] (x)' d, 'a1 b-c' e"
