@@ -113,6 +113,17 @@ def test_order_cells_are_moved_once(spark, tmp_path):
     assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
+def test_masking_moves_sequences_in_place(spark):
+    """Sequences that lie by table are masked there: the same draws by either key, and no further shuffle."""
+    rows = [(f"q{t}", f"{t}", p, f"w{t}_{p}", int(p > 3), int(p > 3), int(p > 3) * (p // 3)) for t in range(5) for p in range(30)]
+    tokens = spark.createDataFrame(rows, "question_id string, table_id string, position int, token string, segment_id int, row_id int, column_id int")
+    by_question = sorted(map(tuple, linearize.mask_tokens(tokens, seed=3).collect()))
+    placed = tokens.repartition(3, "table_id")
+    by_table = linearize.mask_tokens(placed, seed=3, key="table_id")
+    assert sorted(map(tuple, by_table.collect()), key=str) == sorted(by_question, key=str)
+    assert by_table._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_text_functions(spark):
     row = spark.sql(
         "select 'N/A' a, ' Foo_bar,  BAZ! ' b, 'The cat, a dog' c, '“Été” [3] (x)' d, 'a1 b-c' e"
