@@ -124,6 +124,18 @@ def test_masking_moves_sequences_in_place(spark):
     assert by_table._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
 
 
+def test_numbers_meet_tokens_in_place(spark):
+    """Null keys meet nothing, a cell stated twice gives its tokens twice; tokens that lie by table are not moved."""
+    rows = [("q1", "1", 0, "a", 0, 0, 0), ("q1", "1", 1, "5", 1, 1, 1), ("q1", "1", 2, "6", 1, 1, 1), ("q1", "1", 3, "x", 1, 2, 1), ("q", None, 1, "7", 1, 1, 1)]
+    tokens = spark.createDataFrame(rows, "question_id string, table_id string, position int, token string, segment_id int, row_id int, column_id int").repartition(3, "table_id")
+    cells = spark.createDataFrame([("1", 0, 0, 5.0), ("1", 1, 0, float("inf")), ("1", 1, 0, 8.0), (None, 0, 0, 7.0), ("2", 0, 0, 1.0)], "table_id string, row int, col int, number double")
+    got = linearize.numeric_values(tokens, cells.repartition(3, "table_id"))
+    assert got.columns[:3] == ["table_id", "row_id", "column_id"]
+    found = sorted((r.question_id, r.position, str(r.numeric_value), r.scale) for r in got.collect())
+    assert found == [("q", 1, "nan", 1), ("q1", 0, "nan", 1), ("q1", 1, "5.0", 2), ("q1", 2, "5.0", 2), ("q1", 3, "8.0", 2), ("q1", 3, "nan", 2)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_text_functions(spark):
     row = spark.sql(
         "select 'N/A' a, ' Foo_bar,  BAZ! ' b, 'The cat, a dog' c, '“Été” [3] (x)' d, 'a1 b-c' e"
