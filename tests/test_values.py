@@ -136,6 +136,19 @@ def test_numbers_meet_tokens_in_place(spark):
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_noise_is_drawn_in_place(spark):
+    """All cells of a row or column with a gold cell but the gold ones; null ids and repeated coordinates; cells join once."""
+    cells = spark.createDataFrame([(t, r, c, "x") for t in ("1", "2", None) for r in range(3) for c in range(3)], "table_id string, row int, col int, text string")
+    coords = spark.createDataFrame([("a", "1", 0, 0), ("a", "1", 0, 0), ("a", "1", 1, 0), (None, "2", 2, 2), ("c", None, 0, 0)], "question_id string, table_id string, row int, col int")
+    drawn = generate.noisy_coordinates(coords, cells.repartition(3, "table_id"), "row_or_column", seed=1)
+    got = {q: sorted({(r.row, r.col) for r in drawn.collect() if r.question_id == q}) for q in ("a", None, "c")}
+    assert len(got["a"]) == 3 and set(got["a"]) <= {(0, 1), (0, 2), (1, 1), (1, 2), (2, 0)}
+    # Without an id nothing is known to be gold.
+    assert len(got[None]) == 1 and got["c"] == []
+    anti = [line for line in drawn._jdf.queryExecution().optimizedPlan().toString().splitlines() if "LeftAnti" in line]
+    assert not anti
+
+
 def test_text_functions(spark):
     row = spark.sql(
         "select 'N/A' a, ' Foo_bar,  BAZ! ' b, 'The cat, a dog' c, '“Été” [3] (x)' d, 'a1 b-c' e"
