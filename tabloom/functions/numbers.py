@@ -100,38 +100,62 @@ def to_float32(c: Column) -> Column:
     return c.cast("float")
 
 
-def parse_number(c: Column) -> Column:
-    """One cardinal or ordinal number, digits or word; null when it is neither or not finite upward."""
-    digits = to_double(F.replace(F.regexp_replace(c, ORDINAL_SUFFIX, ""), F.lit(",")))
+def numeral(c: Column) -> Column:
+    """The digits of a cardinal or ordinal number as a double, or null."""
+    return to_double(F.replace(F.regexp_replace(c, ORDINAL_SUFFIX, ""), F.lit(",")))
+
+
+def parse_number(c: Column, digits: Column | None = None) -> Column:
+    """One cardinal or ordinal number, digits or word; null when it is neither or not finite upward.
+
+    digits is the numeral of c where that is a column already.
+    """
+    digits = numeral(c) if digits is None else digits
     finite = F.when(~F.isnan(digits) & (digits != float("inf")), digits)
     word = _lookup({**NUMBER_WORDS, **ORDINAL_WORDS})[c].cast("double")
     return F.coalesce(finite, word)
 
 
 def is_ordinal(c: Column) -> Column:
-    digits = to_double(F.replace(F.regexp_replace(c, ORDINAL_SUFFIX, ""), F.lit(",")))
-    numeral = digits.isNotNull() & ~F.isnan(digits) & (digits != float("inf")) & (digits != 0)
-    return c.isin(*ORDINAL_WORDS) | (F.coalesce(numeral, F.lit(False)) & c.rlike(ORDINAL_SUFFIX))
+    digits = numeral(c)
+    counts = digits.isNotNull() & ~F.isnan(digits) & (digits != float("inf")) & (digits != 0)
+    return c.isin(*ORDINAL_WORDS) | (F.coalesce(counts, F.lit(False)) & c.rlike(ORDINAL_SUFFIX))
 
 
-def parse_date(c: Column) -> Column:
-    """First date shape that matches, as struct<year,month,day> with absent parts null."""
+def _parts_pattern() -> tuple[str, str]:
+    """All date shapes in one pattern, and what takes its groups apart: year;month's name;month's number;day."""
+    places, group = {"y": "", "name": "", "m": "", "d": ""}, 0
+    for shape, order in DATE_SHAPES:
+        for part in order:
+            group += 1
+            places["name" if part == "m" and "jan" in shape else part] += f"${group}"
+    return "^(?:" + "|".join(shape for shape, _ in DATE_SHAPES) + r")$\R?", ";".join(places.values())
+
+
+def date_parts(c: Column) -> Column:
+    """[year, month's name, month's number, day] as texts, absent ones empty; null for what has no date shape.
+
+    A text has one shape at most, so all shapes are matched at once.
+    """
     text = F.lower(F.regexp_replace(c, r"Sept\b", "Sep"))
+    pattern, parts = _parts_pattern()
+    return F.when(text.rlike(pattern), F.split(F.regexp_replace(text, pattern, parts), ";"))
+
+
+def date_from(parts: Column) -> Column:
+    """struct<year,month,day> of date_parts with absent parts null; null for days that do not exist."""
     month_no = _lookup({name: i for i, m in enumerate(MONTHS, 1) for name in {m, m[:3]}})
-    out = None
-    for shape, order in DATE_SHAPES:
-        pattern = f"^{shape}$"
-        parts = {}
-        for group, part in enumerate(order, 1):
-            piece = F.regexp_extract(text, pattern, group)
-            named = part == "m" and "jan" in shape
-            parts[part] = month_no[piece] if named else piece.try_cast("int")
-        year = parts.get("y", F.lit(DEFAULT_YEAR))
-        whole = F.format_string("%04d-%02d-%02d", year, parts.get("m", F.lit(1)), parts.get("d", F.lit(1)))
-        valid = text.rlike(pattern) & year.between(MIN_YEAR, MAX_YEAR) & whole.try_cast("date").isNotNull()
-        value = F.struct(*[parts.get(p, F.lit(None)).cast("int").alias(n) for p, n in (("y", "year"), ("m", "month"), ("d", "day"))])
-        out = F.when(valid, value) if out is None else out.when(valid, value)
-    return F.when(text.rlike(r"\d{4}|" + "|".join(m[:3] for m in MONTHS)), out)
+    year, number, day = (F.get(parts, F.lit(i)).try_cast("int") for i in (0, 2, 3))
+    month = F.coalesce(number, month_no[F.get(parts, F.lit(1))])
+    full_year = F.coalesce(year, F.lit(DEFAULT_YEAR))
+    whole = F.concat_ws("-", full_year.cast("string"), F.coalesce(month, F.lit(1)).cast("string"), F.coalesce(day, F.lit(1)).cast("string"))
+    valid = parts.isNotNull() & full_year.between(MIN_YEAR, MAX_YEAR) & whole.try_cast("date").isNotNull()
+    return F.when(valid, F.struct(year.alias("year"), month.alias("month"), day.alias("day")))
+
+
+def parse_date(c: Column) -> Column:
+    """The date that a text reads as, as struct<year,month,day> with absent parts null."""
+    return date_from(date_parts(c))
 
 
 def number_value(c: Column) -> Column:
@@ -149,19 +173,31 @@ def date_value(c: Column) -> Column:
     )
 
 
+def reads_as_number(c: Column) -> Column:
+    """Whether a whole cell has the shape of one number or word."""
+    return c.rlike(r"^[+-]?(\.\d+|\d+(,\d\d\d)*(\.\d*)?)$") | ~c.rlike(r"[^\p{L}\p{N}]")
+
+
+def held_values(number: Column, day: Column) -> Column:
+    """The values of a cell: its number, then its date, each if there is one.
+
+    Both are named several times here, so give columns that are computed already.
+    """
+    as_number, as_date = number_value(number), date_value(day)
+    return (
+        F.when(number.isNotNull() & day.isNotNull(), F.array(as_number, as_date))
+        .when(number.isNotNull(), F.array(as_number))
+        .when(day.isNotNull(), F.array(as_date))
+        .otherwise(F.array().cast(f"array<{VALUE_TYPE}>"))
+    )
+
+
 def cell_values(c: Column) -> Column:
     """Values of a cell that holds one number or one date: numbers first, then dates.
 
     Stays in the JVM; cells with several values or running text need text_values.
     """
-    number = F.when(
-        c.rlike(r"^[+-]?(\.\d+|\d+(,\d\d\d)*(\.\d*)?)$") | ~c.rlike(r"[^\p{L}\p{N}]"), parse_number(c)
-    )
-    day = parse_date(c)
-    return F.filter(
-        F.array(F.when(number.isNotNull(), number_value(number)), F.when(day.isNotNull(), date_value(day))),
-        lambda v: v.isNotNull(),
-    )
+    return held_values(F.when(reads_as_number(c), parse_number(c)), parse_date(c))
 
 
 _DIGITS, _WORDS = re.compile(r"\d+"), re.compile(r"[^\W_]+")

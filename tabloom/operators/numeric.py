@@ -26,8 +26,16 @@ def with_values(cells: DataFrame, free_text: bool = False) -> DataFrame:
     default reads cells that are one number or one date and stays in the JVM.
     """
     normal = text.normalize_for_match(F.col("text"))
-    values = numbers.text_values(normal) if free_text else numbers.cell_values(normal)
-    return body(cells).withColumn("values", values)
+    if free_text:
+        return body(cells).withColumn("values", numbers.text_values(normal))
+    # One step each: what a later step names several times is then a column, computed once a cell.
+    cell, reads = F.col("_normal"), F.col("_reads")
+    read = body(cells).withColumn("_normal", normal)
+    read = read.withColumns({"_reads": numbers.reads_as_number(cell), "_parts": numbers.date_parts(cell)})
+    read = read.withColumns({"_digits": F.when(reads, numbers.numeral(cell)), "_day": numbers.date_from(F.col("_parts"))})
+    read = read.withColumn("_number", F.when(reads, numbers.parse_number(cell, F.col("_digits"))))
+    values = numbers.held_values(F.col("_number"), F.col("_day"))
+    return read.withColumn("values", values).drop("_normal", "_reads", "_parts", "_digits", "_day", "_number")
 
 
 def consolidate(valued: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
