@@ -87,13 +87,18 @@ def condition_results(spark, folder):
     """Each expression compared with the next one of its table, with every comparator."""
     values = programs.evaluate_expressions(D.expressions(spark, folder), order_cells(spark, folder))
     ix = F.split("expr_id", ":")[1].cast("int")
-    left = values.select("table_id", ix.alias("ix"), F.col("values").alias("left_values"))
-    right = values.select("table_id", (ix - 1).alias("ix"), F.col("values").alias("right_values"))
-    return left.join(right, ["table_id", "ix"]).withColumn("cmp", F.explode(F.array(F.lit("="), F.lit("<"), F.lit(">")))).select(
+    # All values of a table meet as one list, so they are evaluated once and stay where the table lies.
+    read = values.select("table_id", ix.alias("ix"), "values", programs.floats(F.col("values")).alias("floats"))
+    listed = read.groupBy("table_id").agg(F.collect_list(F.struct("ix", "values", "floats")).alias("all"))
+    left = listed.select("table_id", "all", F.explode("all").alias("l")).select("table_id", F.filter("all", lambda e: e["ix"] == F.col("l")["ix"] + 1).alias("next"), "l")
+    paired = left.select("table_id", "l", F.explode("next").alias("r")).select(
+        "table_id", "l.ix", F.col("l.values").alias("left_values"), F.col("r.values").alias("right_values"), F.col("l.floats").alias("lo"), F.col("r.floats").alias("hi")
+    )
+    return paired.withColumn("cmp", F.explode(F.array(F.lit("="), F.lit("<"), F.lit(">")))).select(
         "table_id",
         "ix",
         "cmp",
-        programs.condition_truth(F.col("left_values"), F.col("right_values"), F.col("cmp")).alias("result"),
+        programs.condition_truth(F.col("left_values"), F.col("right_values"), F.col("cmp"), F.col("lo"), F.col("hi")).alias("result"),
     )
 
 
@@ -102,9 +107,8 @@ def condition_results(spark, folder):
     f"{S.WITH_OT}, {D.EXPRESSIONS}, {_TRUTH_SQL} SELECT cmp, result, count(*) AS n, count(DISTINCT table_id) AS n_tables FROM truth GROUP BY ALL",
 )
 def d05(spark, folder):
-    return condition_results(spark, folder).groupBy("cmp", "result").agg(
-        F.count("*").alias("n"), F.count_distinct("table_id").alias("n_tables")
-    )
+    per_table = condition_results(spark, folder).groupBy("table_id", "cmp", "result").agg(F.count("*").alias("n"))
+    return per_table.groupBy("cmp", "result").agg(F.sum("n").alias("n"), F.count("table_id").alias("n_tables"))
 
 
 @query(
