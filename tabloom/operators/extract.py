@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ from tabloom.operators.ranking import group_rank
 
 _TABLE_TAG = re.compile(rb"(?P<open><table)|</table>", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: A tag in its plain form; markup made of such tags and text needs no tolerant parser.
+_PLAIN_TAG = re.compile(r'<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[ \t\n\r\f]+[a-zA-Z][a-zA-Z0-9-]*="[^"<>&]*")*)[ \t\n\r\f]*(/?)>')
+_ATTRIBUTE = re.compile(r'([a-zA-Z][a-zA-Z0-9-]*)="([^"]*)"')
+_RAW_TEXT = frozenset("script style textarea title iframe noembed noframes noscript xmp plaintext".split())
+_BLANKS = re.compile(r"[\r\n]+|\s{2,}")
 
 
 def table_spans_of(html: bytes) -> list[tuple[int, int]]:
@@ -65,6 +72,25 @@ class _FirstTable(HTMLParser):
         self.depth, self.hidden, self.done = 0, [], False
         self.rows, self.cell, self.in_head, self.infobox = [], None, False, False
 
+    def read(self, markup: str) -> None:
+        """Feed all of the markup; when it consists of plain tags, by one split instead of the tolerant scan."""
+        parts = _PLAIN_TAG.split(markup)
+        tags = [tag.lower() for tag in parts[2::5]]
+        ends, attributes, voids = parts[1::5], parts[3::5], parts[4::5]
+        odd = any(end and (more or void) for end, more, void in zip(ends, attributes, voids))
+        if markup.count("<") != len(tags) or odd or not tags or parts[-1] or not _RAW_TEXT.isdisjoint(tags):
+            self.feed(markup)
+            self.close()
+            return
+        for data, end, tag, more, void in zip(parts[0::5], ends, tags, attributes, voids):
+            if data and self.cell:
+                self.handle_data(unescape(data) if "&" in data else data)
+            if end:
+                self.handle_endtag(tag)
+            else:
+                given = [(name.lower(), value) for name, value in _ATTRIBUTE.findall(more)] if more else ()
+                (self.handle_startendtag if void else self.handle_starttag)(tag, given)
+
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
         if self.done:
@@ -119,7 +145,7 @@ class _FirstTable(HTMLParser):
     def close_cell(self):
         if self.cell:
             is_header, parts, wide, tall = self.cell
-            clean = re.sub(r"[\r\n]+|\s{2,}", " ", "".join(parts)).strip()
+            clean = _BLANKS.sub(" ", "".join(parts)).strip()
             self.rows[-1][1].append((is_header, clean, wide, tall))
             self.cell = None
 
@@ -133,6 +159,8 @@ def _grid(table: _FirstTable) -> tuple[list[list[str]], int]:
             head.append(rest.pop(0))
 
     def expand(rows):
+        if all(wide <= 1 and tall <= 1 for cells in rows for _, _, wide, tall in cells):
+            return [[c[1] for c in cells] for cells in rows]
         out, pending = [], {}
         for cells in rows:
             line, queue = [], list(cells)
@@ -177,6 +205,9 @@ _PAGE_CELLS = (
 )
 
 
+_PAGE_COLUMNS = ["page_id", "table_ix", "begin", "end", "infobox", "n_header_rows", "row", "col", "text"]
+
+
 def page_cells(pages: DataFrame) -> DataFrame:
     """Cells of every table of every page: (page_id, html) in, long cells out.
 
@@ -185,30 +216,42 @@ def page_cells(pages: DataFrame) -> DataFrame:
     nested markup has no SQL form; pages are independent of each other.
     """
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["page_id", "table_ix", "begin", "end", "infobox", "n_header_rows", "row", "col", "text"]
-        out = []
+    kind = pages.schema["page_id"].dataType.simpleString()
+
+    def made(page_ids: pa.Array, tables: list[tuple], sizes: list[int], rows: list[int], widths: list[int], texts: list[str]) -> pa.RecordBatch:
+        """Tables (place of the page, facts), cells of each; lines (row, width); texts of all cells in order."""
+        place, *facts = (np.repeat(np.array(column), sizes) for column in zip(*tables))
+        ends = np.cumsum(widths)
+        cols = np.arange(len(texts)) - np.repeat(ends - widths, widths)
+        numbers = [pa.array(column, pa.bool_() if column.dtype == bool else pa.int32()) for column in (*facts, np.repeat(rows, widths), cols)]
+        return pa.RecordBatch.from_arrays([page_ids.take(pa.array(place)), *numbers, pa.array(texts, pa.string())], _PAGE_COLUMNS)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page_id, html in zip(batch["page_id"], batch["html"]):
-                raw = (html or "").encode()
+            tables, sizes, rows, widths, texts = [], [], [], [], []
+            page_ids, pages_html = batch.column("page_id"), batch.column("html")
+            for place in range(batch.num_rows):
+                raw = (pages_html[place].as_py() or "").encode()
                 for table_ix, (begin, end) in enumerate(table_spans_of(raw)):
                     parser = _FirstTable()
-                    parser.feed(raw[begin:end].decode("utf-8", "replace"))
-                    parser.close()
+                    parser.read(raw[begin:end].decode("utf-8", "replace"))
                     lines, n_head = _grid(parser)
                     if n_head == 1:
                         lines[0] = _header_names(lines[0])
+                    before = len(texts)
                     for r, line in enumerate(lines):
-                        for c, value in enumerate(line):
-                            out.append((page_id, table_ix, begin, end, parser.infobox, n_head, r - n_head, c, value))
-                if len(out) >= OUT_ROWS:
-                    yield pd.DataFrame(out, columns=columns)
-                    out = []
-        if out:
-            yield pd.DataFrame(out, columns=columns)
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "html").mapInPandas(scan, _PAGE_CELLS.format(id=kind))
+                        rows.append(r - n_head)
+                        widths.append(len(line))
+                        texts.extend(line)
+                    tables.append((place, table_ix, begin, end, parser.infobox, n_head))
+                    sizes.append(len(texts) - before)
+                if len(texts) >= OUT_ROWS:
+                    yield made(page_ids, tables, sizes, rows, widths, texts)
+                    tables, sizes, rows, widths, texts = [], [], [], [], []
+            if texts:
+                yield made(page_ids, tables, sizes, rows, widths, texts)
+
+    return pages.select("page_id", "html").mapInArrow(scan, _PAGE_CELLS.format(id=kind))
 
 
 def standard_tables(cells: DataFrame, keys: list[str] = ["table_id"]) -> DataFrame:
