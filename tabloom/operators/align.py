@@ -108,9 +108,16 @@ def align_answers(questions: DataFrame, answers: DataFrame, cells: DataFrame, st
     a fitting level have no rows.
     """
     asked = questions.select("question_id", "table_id").join(answers, "question_id")
-    wanted = asked.select("question_id", "table_id", "answer_ix", F.posexplode(_levels(F.col("text"))).alias("level", "norm"))
-    offered = body(cells).select("table_id", "row", "col", F.posexplode(_levels(F.col("text"))).alias("level", "norm"))
-    hits = wanted.join(offered, ["table_id", "level", "norm"], "left")
+    wanted = asked.select("table_id", "question_id", "answer_ix", F.posexplode(_levels(F.col("text"))).alias("level", "norm"))
+    # A question's texts meet the cells of its table as one list, so that cells stay where they lie and only hits are moved.
+    lists = wanted.groupBy("table_id", "question_id").agg(F.collect_list(F.struct("answer_ix", "level", "norm")).alias("wanted"))
+    met = body(cells).select("table_id", "row", "col", "text").join(lists, "table_id")
+    read = met.select("table_id", "question_id", "row", "col", "wanted", _levels(F.col("text")).alias("norms"))
+    equal = F.filter("wanted", lambda w: F.get(F.col("norms"), w["level"]) == w["norm"])
+    found = read.select("table_id", "question_id", "row", "col", F.explode(equal).alias("w")).select("table_id", "question_id", "w.level", "w.answer_ix", "row", "col")
+    # Every wanted text stands once without a cell, which tells those that have none.
+    none = F.lit(None).cast("int")
+    hits = found.unionByName(wanted.select("table_id", "question_id", "level", "answer_ix", none.alias("row"), none.alias("col"))).repartition("table_id")
     per_cell = hits.groupBy("table_id", "question_id", "level", "row", "col").agg(F.count("*").alias("claims"), F.collect_list("answer_ix").alias("ixs"))
     per_text = (
         per_cell.select("table_id", "question_id", "level", "row", "col", "claims", F.explode("ixs").alias("answer_ix"))
