@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.operators.align import answerable
+from tabloom.operators.layout import materialize
 from tabloom.operators.ranking import first_wins, top_k
 
 FAKE_TABLE = "FAKE"
@@ -35,7 +36,8 @@ def mine(questions: DataFrame, neighbours: DataFrame, answers: DataFrame, cells:
     questions, neighbours, answers = same_id(questions), same_id(neighbours), same_id(answers)
     listed = neighbours.join(questions.select("question_id"), "question_id", "left_semi")
     distinct = first_wins(listed, ["question_id", "table_id"], [F.col("rank")])
-    wrong = distinct.join(questions, ["question_id", "table_id"], "left_anti")
+    # Written once: three branches follow, and each would search for the neighbours again.
+    wrong = materialize(distinct.join(questions, ["question_id", "table_id"], "left_anti"))
     holding = answerable(wrong, answers, cells)
     negatives = wrong.join(holding, ["question_id", "table_id"], "left_anti")
     if n is not None:

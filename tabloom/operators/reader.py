@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.operators.layout import materialize
+
 
 def expand_candidates(
     hits: DataFrame, golds: DataFrame, max_rank: int, add_gold: bool = True, add_negatives: bool = True
@@ -16,6 +18,8 @@ def expand_candidates(
     for gold tables; negatives can be left out afterwards, which keeps the numbering
     by sorted table id. rank and score are those of the full hit list.
     """
+    # Written once: candidates and their scores would each search for the hits again.
+    hits = materialize(hits.select("example_id", "table_id", "rank", "score"))
     first = hits.where(F.col("rank") <= max_rank).select("example_id", "table_id")
     gold = golds.select("example_id", "table_id").distinct()
     chosen = (first.unionByName(gold) if add_gold else first).distinct()
