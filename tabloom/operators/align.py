@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import text
 from tabloom.model import body
+from tabloom.operators.layout import materialize
 
 
 def with_tables(questions: DataFrame, tables: DataFrame) -> DataFrame:
@@ -227,38 +228,47 @@ def _sign_stands_in(needle: Column, piece: Column, k: Column) -> Column:
     return F.contains(piece, needle) & F.exists(F.sequence(F.lit(0), F.greatest(room, F.lit(0))), at)
 
 
-def mentions(texts: DataFrame, text_col: str, needles: DataFrame, needle_col: str, on: list[str]) -> DataFrame:
+def mentions(texts: DataFrame, text_col: str, needles: DataFrame, needle_col: str, on: list[str], how: str = "merge") -> DataFrame:
     """Rows of needles joined to the distinct rows of texts with equal `on` that hold the needle on token boundaries.
 
     Same pairs as an `on` join with `text.contains_tokens`, but met by hash: a needle is looked up
     by its first two runs of word characters (or its only one) among the neighbouring runs of the
     texts, and only pairs that agree there are compared, run by run, without a pattern per pair.
     Needles of signs alone meet the pieces between the runs. Null needles and texts meet nothing,
-    nor do empty needles. No other column may stand on both sides.
+    nor do empty needles. No other column may stand on both sides. `how` the texts are joined is
+    said here, since a size guessed from compressed files may be far too small to send them.
     """
     held = texts.where(F.col(text_col).isNotNull()).distinct()
     sides = sorted(held.columns)
     keyed = held.select("*", text.word_runs(F.col(text_col)).alias("tw"), text.between_runs(F.col(text_col)).alias("tp"), F.struct(F.xxhash64(*sides), F.xxhash64(F.lit("row"), *sides)).alias("tk"))
     asked = needles.where(F.col(needle_col) != "").select("*", text.word_runs(F.col(needle_col)).alias("w"), text.between_runs(F.col(needle_col)).alias("p"))
     worded = asked.where(F.size("w") > 0).withColumn("gram", F.concat_ws("\x00", F.slice("w", 1, 2)))
-    near = worded.join(keyed.select(*on, "tk", F.explode(_grams(F.col("tw"))).alias("gram")), [*on, "gram"])
+    near = worded.join(keyed.select(*on, "tk", F.explode(_grams(F.col("tw"))).alias("gram")).hint(how), [*on, "gram"])
     places = F.sequence(F.lit(0), F.greatest(F.size("tw") - F.size("w"), F.lit(0)))
-    found = near.join(keyed, [*on, "tk"]).where(F.exists(places, _stands_at))
-    signs = asked.where(F.size("w") == 0).join(keyed, on).where(F.exists(F.transform("tp", lambda g, k: _sign_stands_in(F.col(needle_col), g, k)), lambda x: x))
+    found = near.join(keyed.hint(how), [*on, "tk"]).where(F.exists(places, _stands_at))
+    signs = asked.where(F.size("w") == 0).join(keyed.hint(how), on).where(F.exists(F.transform("tp", lambda g, k: _sign_stands_in(F.col(needle_col), g, k)), lambda x: x))
     columns = [*needles.columns, *[c for c in texts.columns if c not in on]]
     return found.select(*columns).unionByName(signs.select(*columns))
 
 
+#: Characters of descriptions, with some for each row, that are sent to all tasks.
+MAX_SENT_CHARACTERS = 1_000_000
+
+
 def linked_answers(pairs: DataFrame, answers: DataFrame, cells: DataFrame, links: DataFrame, descriptions: DataFrame) -> DataFrame:
     """Cells whose text, or else a linked description, holds the answer on token boundaries.
 
     links (table_id, row, col, identifier), descriptions (identifier, description).
     A question that is answered by cell text is not searched in descriptions.
     """
-    asked = pairs.select("question_id", "table_id").join(answers.select("question_id", "text"), "question_id")
+    asked = pairs.select("question_id", "table_id").join(answers.select("question_id", "text").hint("merge"), "question_id")
     place = ["question_id", "table_id", "row", "col"]
-    searched = body(cells).select("table_id", "row", "col", F.col("text").alias("cell")).join(asked.select("table_id"), "table_id", "left_semi")
+    searched = body(cells).select("table_id", "row", "col", F.col("text").alias("cell")).join(asked.select("table_id").hint("merge"), "table_id", "left_semi")
     own = mentions(searched, "cell", asked, "text", ["table_id"]).select(*place, F.lit("cell").alias("source"))
-    rest = asked.join(own.select("question_id", "table_id").distinct(), ["question_id", "table_id"], "left_anti")
-    linked = mentions(descriptions.select("identifier", "description"), "description", rest.join(links.select("table_id", "row", "col", "identifier"), "table_id"), "text", ["identifier"])
+    rest = asked.join(own.select("question_id", "table_id").distinct().hint("merge"), ["question_id", "table_id"], "left_anti")
+    # Few descriptions, to which very many cells may link, are sent to all tasks once their size is known.
+    described = materialize(descriptions.select("identifier", "description").distinct())
+    size = described.agg(F.sum(F.length(F.concat_ws("", "identifier", "description")) + 64)).first()[0] or 0
+    linking = rest.join(links.select("table_id", "row", "col", "identifier").hint("merge"), "table_id")
+    linked = mentions(described, "description", linking, "text", ["identifier"], "broadcast" if size <= MAX_SENT_CHARACTERS else "merge")
     return own.unionByName(linked.select(*place, F.lit("description").alias("source"))).distinct()
