@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions import text
-from tabloom.operators.layout import spread
+from tabloom.operators.layout import materialize, spread
 
 
 def read_csv_tables(spark: SparkSession, path: str, sep: str = ",", depth: int = 1) -> DataFrame:
@@ -152,11 +152,14 @@ LINKED = "uid string, title string, url string, header array<array<string>>, dat
 
 def read_linked_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Linked JSON tables, one per file, as (cells, links); link ids are URL-decoded and distinct."""
-    raw = spark.read.schema(LINKED).json(path, multiLine=True)
+    # A file is one record up to a separator that JSON cannot hold: read as lines, a cell's inner list is cut out of
+    # the record, while a multi-line file is opened at its place again for every one of them.
+    raw = spark.read.schema(LINKED).json(path, lineSep="\0tabloom\0")
     lines = F.concat(F.array("header"), F.col("data"))
-    cells = raw.select(F.col("uid").alias("table_id"), F.posexplode(lines).alias("line", "cells")).select(
+    each = raw.select(F.col("uid").alias("table_id"), F.posexplode(lines).alias("line", "cells")).select(
         "table_id", (F.col("line") - 1).alias("row"), F.posexplode("cells").alias("col", "cell")
     )
+    cells = materialize(each)  # read for cells and for links, so that files are parsed once
     links = cells.select("table_id", "row", "col", F.explode(F.from_json(F.col("cell")[1], "array<string>")).alias("link"))
     decoded = links.select("table_id", "row", "col", F.url_decode("link").alias("identifier")).distinct()
     return cells.select("table_id", "row", "col", F.col("cell")[0].alias("text")), decoded
